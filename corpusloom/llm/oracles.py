@@ -1,12 +1,14 @@
 """DuckDB SQL that states what the opN_ queries return."""
 
-OP1 = r"""
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"list_filter(regexp_split_to_array(%s, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+OP1 = rf"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
-  FROM documents
+  SELECT doc_id, {_SPACED % _LOWER} AS w FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) END AS sh
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS sh
   FROM d
 ), n AS (SELECT doc_id, len(sh) AS n FROM s),
 e AS (SELECT doc_id, unnest(sh) AS x FROM s),
@@ -21,3 +23,129 @@ r AS (
 SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id, n.doc_id = min(r.b) AS kept
 FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
 """
+
+#: (kind, pattern, group that is measured, its least length)
+_SECRETS = (
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+)
+
+
+def _secret(no: int, kind: str, pattern: str, group: int, least: int) -> str:
+    return f"""
+  SELECT doc_id, {no} AS no, '{kind}' AS kind, unnest(regexp_extract_all(t, '{pattern}')) AS m,
+    unnest(regexp_extract_all(t, '{pattern}', {group})) AS g, {least} AS least,
+    unnest(regexp_split_to_array(t, '{pattern}')[:len(regexp_extract_all(t, '{pattern}'))]) AS p,
+    unnest(range(len(regexp_extract_all(t, '{pattern}')))) AS nth
+  FROM t"""
+
+
+OP2 = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(_secret(n, *x) for n, x in enumerate(_SECRETS))}),
+e AS (
+  SELECT *, sum(length(p) + length(m)) OVER (PARTITION BY doc_id, no ORDER BY nth) AS stop FROM m
+), f AS (
+  SELECT doc_id, no, kind, stop - length(m) AS start, kind || ':' || CAST(stop - length(m) AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span FROM e WHERE length(g) >= least
+), s AS (
+  SELECT doc_id, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
+    coalesce(string_agg(span, ',' ORDER BY start, no) FILTER (no < 3), '') AS base, string_agg(span, ',' ORDER BY start, no) AS spans
+  FROM f GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN s USING (doc_id)
+"""
+
+OP3 = rf"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, {_SPACED % "t"} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+h AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM h, range(3) AS s(k) GROUP BY doc_id),
+c AS (
+  SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words,
+    length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS word_chars,
+    length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines,
+    length(t) - length(replace(t, '!', '')) AS n_shouts,
+    length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_capitals,
+    length(t) - length(translate(t, '0123456789', '')) AS n_digits
+  FROM t JOIN w USING (doc_id) LEFT JOIN r USING (doc_id)
+), f AS (
+  SELECT *, greatest(3000 * n_symbols // greatest(word_chars, 1), 4000 * n_shouts // greatest(word_chars, 1), 1000 * n_capitals // greatest(word_chars, 1),
+    1000 * n_digits // greatest(word_chars, 1), 1000 * n_repeat_words // greatest(n_words, 1), 1000 * n_dup_lines // greatest(n_lines, 1)) AS score,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  FROM c
+), good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
+held AS (SELECT lang, score FROM f JOIN good USING (doc_id)),
+k AS (
+  SELECT lang, cutoff, count(*) AS n, count(*) FILTER (score >= cutoff) AS k
+  FROM held, unnest([900, 800, 700, 600, 500, 450, 400, 350, 300, 250, 220, 200, 180, 160, 140, 120, 100, 90, 80, 70, 60, 50, 40, 30, 20]) AS s(cutoff)
+  GROUP BY lang, cutoff
+), p AS (
+  SELECT lang, cutoff, k < 0.02 * n AND list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02) + (n - i) * ln(0.98))))
+    <= 0.05 / (SELECT count(DISTINCT coalesce(lang, '')) FROM held) AS passes
+  FROM k
+), x AS (
+  SELECT lang, min(cutoff) AS cutoff FROM p a
+  WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.lang IS NOT DISTINCT FROM a.lang AND b.cutoff >= a.cutoff AND NOT b.passes) GROUP BY lang
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(score >= cutoff, false) AS kept, score, CAST(coalesce(cutoff, 1000000) AS BIGINT) AS cutoff
+FROM f LEFT JOIN x ON x.lang IS NOT DISTINCT FROM f.lang
+"""
+
+OP6 = rf"""
+WITH RECURSIVE z AS (
+  SELECT doc_id, source, CAST(len({_SPACED % "coalesce(text, '')"}) AS BIGINT) AS size,
+    -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 13) AS BIGINT) + 1) / (CAST(4503599627370496 AS DOUBLE) + 1)) /
+      greatest(0.25, 1 - (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '0123456789#*$%&|<>!', ''))) / greatest(length(coalesce(text, '')), 1)) AS key
+  FROM documents
+), s AS (
+  SELECT source, sum(size) AS n, ((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1 AS weight FROM z GROUP BY source
+), f AS (
+  SELECT 0 AS step, source, n, weight, false AS stopped FROM s
+  UNION ALL
+  SELECT step + 1, source, n, weight, stopped OR 3 * n < weight * level FROM (
+    SELECT *, (sum(n) OVER () - sum(CASE WHEN stopped THEN 3 * n ELSE 0 END) OVER ()) / sum(CASE WHEN stopped THEN 0 ELSE weight END) OVER () AS level FROM f
+  ) WHERE step < 40
+), g AS (
+  SELECT source, n, CASE WHEN stopped THEN CAST(3 * n AS DOUBLE) ELSE weight *
+    ((sum(n) OVER () - sum(CASE WHEN stopped THEN 3 * n ELSE 0 END) OVER ()) / sum(CASE WHEN stopped THEN 0 ELSE weight END) OVER ()) END AS target
+  FROM f WHERE step = 40
+), e AS (SELECT *, CASE WHEN n > 0 THEN CAST(floor(target / n) AS BIGINT) ELSE 0 END AS epochs FROM g),
+o AS (
+  SELECT doc_id, size, n, target, epochs, target - epochs * n AS rest, sum(size) OVER (PARTITION BY z.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM z JOIN e ON z.source IS NOT DISTINCT FROM e.source
+)
+SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target,
+  CAST((epochs + CASE WHEN rest > 0 AND upto - size / 2 < rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken,
+  CAST(epochs + CASE WHEN rest > 0 AND upto - size / 2 < rest THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM o
+"""
+
+_WORDS = r"list_filter(regexp_split_to_array(%s, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')" % _LOWER
+
+OP7 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+q AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i+9], ' ') AS x
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)
+), k AS (SELECT DISTINCT k FROM q),
+v AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i+k-1], ' ') AS x
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, k)
+), m AS (SELECT doc_id, i, k, item_id FROM v JOIN q USING (k, x)),
+h AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM m) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

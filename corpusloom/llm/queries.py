@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import oracles
+from corpusloom.llm.decontaminate import contamination
 from corpusloom.llm.near_dedup import near_duplicates
+from corpusloom.llm.quality_rules import quality_verdicts
+from corpusloom.llm.secret_scan import secrets
+from corpusloom.llm.source_mix import mix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +20,34 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_quality_rules": op3_quality_rules,
+    "op6_source_mix": op6_source_mix,
+    "op7_decontaminate": op7_decontaminate,
 }
 
 ORACLES = {
     "op1_near_dedup": oracles.OP1,
+    "op2_secret_scan": oracles.OP2,
+    "op3_quality_rules": oracles.OP3,
+    "op6_source_mix": oracles.OP6,
+    "op7_decontaminate": oracles.OP7,
 }
