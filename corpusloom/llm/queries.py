@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.llm import oracles
 from corpusloom.llm.decontaminate import contamination
 from corpusloom.llm.near_dedup import near_duplicates
+from corpusloom.llm.pii import personal_data
 from corpusloom.llm.quality_rules import quality_verdicts
 from corpusloom.llm.secret_scan import secrets
 from corpusloom.llm.source_mix import mix
+from corpusloom.llm.url_filter import judged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,12 +38,22 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_rules": op3_quality_rules,
     "op6_source_mix": op6_source_mix,
     "op7_decontaminate": op7_decontaminate,
+    "op9_pii": op9_pii,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLES = {
