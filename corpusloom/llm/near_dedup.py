@@ -34,10 +34,13 @@ SYMBOLS = CHUNKS * CHUNK
 RADIUS = 2 * CHUNKS - 1
 PERCENT = 85
 BLOCK = 1024
+#: A second, longer sketch of 8-bit symbols, for pairs within RADIUS only: at the similarity 76.5 symbols differ, and
+#: more than FINE_RADIUS with a probability below 1e-7.
+FINE, FINE_RADIUS = 512, 122
 
 _RNG = np.random.RandomState(20240611)
-_A = (_RNG.randint(0, 1 << 62, SYMBOLS, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
-_B = _RNG.randint(0, 1 << 62, SYMBOLS, dtype=np.int64).astype(np.uint64)
+_A = (_RNG.randint(0, 1 << 62, SYMBOLS + FINE, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+_B = _RNG.randint(0, 1 << 62, SYMBOLS + FINE, dtype=np.int64).astype(np.uint64)
 _PLACE = mix(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
@@ -69,14 +72,20 @@ def digest(values: np.ndarray) -> bytes:
     return np.array([one, two], np.uint64).tobytes()
 
 
-def signature(values: np.ndarray) -> bytes:
-    """SYMBOLS 16-bit MinHash symbols."""
-    low = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
+def minima(values: np.ndarray, which: slice) -> np.ndarray:
+    """Mixed minima of some of the hash functions over a set."""
+    scale, shift = _A[which, None], _B[which, None]
+    low = np.full(len(scale), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(values), 2048):
-        part = values[None, at : at + 2048] * _A[:, None]
-        part += _B[:, None]
+        part = values[None, at : at + 2048] * scale
+        part += shift
         np.minimum(low, part.min(axis=1), out=low)
-    return (mix(low) >> np.uint64(48)).astype(np.uint16).tobytes()
+    return mix(low)
+
+
+def signature(values: np.ndarray) -> bytes:
+    """SYMBOLS 16-bit MinHash symbols."""
+    return (minima(values, slice(SYMBOLS)) >> np.uint64(48)).astype(np.uint16).tobytes()
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,6 +115,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["class", "set"])
 
 
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        classes, sketches = [], []
+        for values in shingles(batch.column(0)):
+            classes.append(digest(values))
+            sketches.append((minima(values, slice(SYMBOLS, None)) >> np.uint64(56)).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(sketches, pa.binary())], ["class", "fine"])
+
+
 @F.pandas_udf(T.IntegerType())
 def symbol_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Number of symbols in which two signatures differ."""
@@ -161,23 +179,26 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs_of(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    node, component, n, part, i, j = (table[c].to_numpy() for c in ("node", "component", "n", "part", "i", "j"))
+    number, node, component, n, part, i, j = (table[c].to_numpy() for c in ("number", "node", "component", "n", "part", "i", "j"))
     symbols = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+    fine = np.frombuffer(b"".join(table["fine"].to_pylist()), np.uint8).reshape(-1, FINE)
     found_a, found_b, held = [], [], 0
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        own = slice(lo, hi)
-        left = np.flatnonzero(part[own] == i[lo]) + lo
-        right = np.flatnonzero(part[own] == j[lo]) + lo
+        left = np.flatnonzero(part[lo:hi] == i[lo]) + lo
+        right = np.flatnonzero(part[lo:hi] == j[lo]) + lo
         for at in left:
             to = right[(component[right] != component[at]) & (100 * n[right] >= PERCENT * n[at]) & (100 * n[at] >= PERCENT * n[right])]
             if i[lo] == j[lo]:
                 to = to[node[to] > node[at]]
             if len(to):
-                to = to[(symbols[to] != symbols[at]).sum(axis=1) <= RADIUS]
-                if len(to):
-                    found_a.append(np.full(len(to), node[at]))
-                    found_b.append(node[to])
-                    held += len(to)
+                differ = symbols[to] != symbols[at]
+                near = np.flatnonzero(differ.sum(axis=1) <= RADIUS)
+                near = near[(fine[to[near]] != fine[at]).sum(axis=1) <= FINE_RADIUS]
+                near = near[first_key(differ[near]) == number[at]]
+                if len(near):
+                    found_a.append(np.full(len(near), node[at]))
+                    found_b.append(node[to[near]])
+                    held += len(near)
         if held > 100_000:
             yield _pair_batch(found_a, found_b)
             found_a, found_b, held = [], [], 0
@@ -185,19 +206,30 @@ def _pairs_of(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield _pair_batch(found_a, found_b)
 
 
+def first_key(differ: np.ndarray) -> np.ndarray:
+    """Number of the first key that rows share, by the symbols in which they differ: a pair is looked at under that key only."""
+    chunks = differ.reshape(-1, CHUNKS, CHUNK)
+    chunk = (chunks.sum(axis=2) <= 1).argmax(axis=1)
+    return chunk * CHUNK + chunks[np.arange(len(differ)), chunk].argmax(axis=1)
+
+
 def _pair_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     a, b = np.concatenate(a), np.concatenate(b)
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
+def texts_of(documents: DataFrame, classes: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One text of each class in nodes, and (node, class) of those."""
+    wanted = checkpointed(nodes.distinct().join(classes.select("node", "class", "doc_id"), "node"))
+    texts = semi_by_size(documents.select("doc_id", "text"), wanted.select("doc_id").distinct(), "doc_id")
+    return texts.select("text"), wanted.select("node", "class")
+
+
 def confirm(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those pairs (a, b) of nodes whose full shingle sets reach the similarity."""
-    wanted = checkpointed(
-        pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "class", "doc_id"), "node")
-    )
-    texts = semi_by_size(documents.select("doc_id", "text"), wanted.select("doc_id").distinct(), "doc_id")
-    sets = texts.select("text").mapInArrow(_sets, "class binary, set array<bigint>").dropDuplicates(["class"])
-    sets = checkpointed(sets.join(wanted.select("node", "class"), "class").select("node", "set"))
+    texts, wanted = texts_of(documents, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    sets = texts.mapInArrow(_sets, "class binary, set array<bigint>").dropDuplicates(["class"])
+    sets = checkpointed(sets.join(wanted, "class").select("node", "set"))
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b")).cast("bigint")
     return both.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).cast("bigint").alias("total")).where(
@@ -214,9 +246,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
     classes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
 
-    keys = classes.select("node", F.explode(chunk_keys(F.col("signature"))).alias("key"))
+    keys = classes.select("node", F.posexplode(chunk_keys(F.col("signature"))).alias("number", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = checkpointed(keys.join(shared, "key").select("key", "node", "members"))
+    shared = checkpointed(keys.join(shared, "key").select("key", "number", "node", "members"))
 
     info = classes.select("node", "n", "signature")
     ends = shared.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
@@ -234,12 +266,16 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     # What is still apart: all pairs of different components within a key, in blocks.
     labelled = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = labelled.join(apart, "key").withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
+    rest = checkpointed(labelled.join(apart, "key"))
+    texts, wanted = texts_of(documents, classes, rest.select("node"))
+    fine = texts.mapInArrow(_fine, "class binary, fine binary").dropDuplicates(["class"])
+    info = info.join(fine.join(wanted, "class").select("node", "fine"), "node")
+    rest = rest.withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
     rest = rest.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rest = rest.select("key", "node", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    rest = rest.select("key", "number", "node", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     rest = rest.join(info, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = rest.select("key", "i", "j", "part", "node", "component", "n", "signature").mapInArrow(_block_pairs, "a bigint, b bigint").distinct()
+    more = rest.select("key", "number", "i", "j", "part", "node", "component", "n", "signature", "fine").mapInArrow(_block_pairs, "a bigint, b bigint")
     more = checkpointed(more.join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         links = links.union(confirm(documents, classes, more))
