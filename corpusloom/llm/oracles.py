@@ -101,6 +101,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f LEFT JOIN x ON x.lang IS NOT DISTINCT FROM f.lang
 """
 
+OP4 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), e AS (
+  SELECT *, replace(replace(replace(replace(role, '\', '\\'), '##', '#\#'), '</', '<\/'), ':', '\:') AS r,
+    replace(replace(replace(text, '\', '\\'), '##', '#\#'), '</', '<\/') AS t FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(4 + length(r) + 2 + length(t) + 8) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 OP6 = rf"""
 WITH RECURSIVE z AS (
   SELECT doc_id, source, CAST(len({_SPACED % "coalesce(text, '')"}) AS BIGINT) AS size,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import oracles
+from corpusloom.llm.chat_format import packs, read_back
 from corpusloom.llm.decontaminate import contamination
 from corpusloom.llm.near_dedup import near_duplicates
 from corpusloom.llm.pii import personal_data
@@ -30,6 +31,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], conversations.schema)
+    return read_back(packs(conversations.unionByName(extra)))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -50,6 +58,7 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_rules": op3_quality_rules,
+    "op4_chat_format": op4_chat_format,
     "op6_source_mix": op6_source_mix,
     "op7_decontaminate": op7_decontaminate,
     "op9_pii": op9_pii,
@@ -60,6 +69,7 @@ ORACLES = {
     "op1_near_dedup": oracles.OP1,
     "op2_secret_scan": oracles.OP2,
     "op3_quality_rules": oracles.OP3,
+    "op4_chat_format": oracles.OP4,
     "op6_source_mix": oracles.OP6,
     "op7_decontaminate": oracles.OP7,
 }
