@@ -78,6 +78,9 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     same = by_slice["source"].eqNullSafe(goals["source"])
     edge = by_slice.join(goals, same).where("before < left and before + held >= left").select(by_slice["source"], F.col("slice").alias("edge"), "before")
     plan = goals.join(edge, goals["source"].eqNullSafe(edge["source"]), "left").select(goals["*"], "edge", "before").withColumnRenamed("source", "of")
+    plan = checkpointed(plan)
+    if plan.count() * 256 <= BROADCAST_BYTES:
+        plan = F.broadcast(plan)
     rows = sizes.join(plan, sizes["source"].eqNullSafe(plan["of"]))
 
     plain = rows.where("edge is null or slice <> edge").withColumn("extra", (F.col("edge").isNotNull() & (F.col("slice") < F.col("edge"))).cast("bigint"))
