@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.llm import oracles
 from corpusloom.llm.chat_format import packs, read_back
 from corpusloom.llm.decontaminate import contamination
+from corpusloom.llm.lm_score import scores
 from corpusloom.llm.near_dedup import near_duplicates
 from corpusloom.llm.pii import personal_data
 from corpusloom.llm.quality_rules import quality_verdicts
@@ -46,6 +47,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op6_source_mix": op6_source_mix,
     "op7_decontaminate": op7_decontaminate,
+    "op8_lm_score": op8_lm_score,
     "op9_pii": op9_pii,
     "op10_url_filter": op10_url_filter,
 }
