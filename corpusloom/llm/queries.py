@@ -14,6 +14,7 @@ from corpusloom.llm.quality_rules import quality_verdicts
 from corpusloom.llm.secret_scan import secrets
 from corpusloom.llm.source_mix import mix
 from corpusloom.llm.url_filter import judged
+from corpusloom.llm.weak_quality import quality_scores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(packs(conversations.unionByName(extra)))
 
 
+def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_rules": op3_quality_rules,
     "op4_chat_format": op4_chat_format,
+    "op5_weak_quality": op5_weak_quality,
     "op6_source_mix": op6_source_mix,
     "op7_decontaminate": op7_decontaminate,
     "op8_lm_score": op8_lm_score,
