@@ -162,20 +162,51 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("a", "b")).alias("node"), F.col("b").alias("component")).distinct()
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, i, j) in; pairs within the radius, in different components and near enough in size, out."""
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([rest, table]) if rest is not None else table
-        group = np.stack([table[c].to_numpy() for c in ("key", "i", "j")])
-        cuts = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
-        last = int(cuts[-1]) if len(cuts) else 0
-        if last:
-            yield from _pairs_of(table.slice(0, last), np.concatenate([[0], cuts]))
-        rest = table.slice(last)
-    if rest is not None and len(rest):
-        yield from _pairs_of(rest, np.array([0, len(rest)]))
+def _blocks(find):
+    """A function over rows sorted by (key, i, j) that calls find for tables of whole groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]) if rest is not None else table
+            group = np.stack([table[c].to_numpy() for c in ("key", "i", "j")])
+            cuts = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
+            last = int(cuts[-1]) if len(cuts) else 0
+            if last:
+                yield from find(table.slice(0, last), np.concatenate([[0], cuts]))
+            rest = table.slice(last)
+        if rest is not None and len(rest):
+            yield from find(rest, np.array([0, len(rest)]))
+
+    return run
+
+
+def _forests(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each group's minimum spanning forest by sketch distance (Prim), but for edges within a component: no more pairs than rows."""
+    node, component, n = (table[c].to_numpy() for c in ("node", "component", "n"))
+    symbols = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+    fine = np.frombuffer(b"".join(table["fine"].to_pylist()), np.uint8).reshape(-1, FINE)
+    found_a, found_b = [], []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        open_rows = np.arange(lo, hi)
+        distance, source = np.full(hi - lo, FINE + 1), np.full(hi - lo, -1)
+        while len(open_rows):
+            k = int(distance[open_rows - lo].argmin())
+            at = open_rows[k]
+            if 0 < distance[at - lo] <= FINE_RADIUS:
+                found_a.append(node[at])
+                found_b.append(node[source[at - lo]])
+            open_rows = np.delete(open_rows, k)
+            same = component[open_rows] == component[at]
+            to = open_rows[~same & (100 * n[open_rows] >= PERCENT * n[at]) & (100 * n[at] >= PERCENT * n[open_rows])]
+            to = to[(symbols[to] != symbols[at]).sum(axis=1) <= RADIUS]
+            own = np.maximum((fine[to] != fine[at]).sum(axis=1), 1)
+            closer = own < distance[to - lo]
+            distance[to[closer] - lo], source[to[closer] - lo] = own[closer], at
+            distance[open_rows[same] - lo] = 0
+    if found_a:
+        yield _pair_batch([np.array(found_a)], [np.array(found_b)])
 
 
 def _pairs_of(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -237,6 +268,19 @@ def confirm(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataF
     ).select("a", "b")
 
 
+def in_blocks(documents: DataFrame, classes: DataFrame, rest: DataFrame) -> DataFrame:
+    """Rows (key, number, node, members, component) with sketches, dealt and sorted by key and pair of blocks (i, j) of its rows."""
+    texts, wanted = texts_of(documents, classes, rest.select("node"))
+    fine = texts.mapInArrow(_fine, "class binary, fine binary").dropDuplicates(["class"]).join(wanted, "class").select("node", "fine")
+    info = classes.select("node", "n", "signature").join(fine, "node")
+    rest = rest.withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
+    rest = rest.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rest = rest.select("key", "number", "node", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    rest = rest.join(info, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rest.select("key", "number", "i", "j", "part", "node", "component", "n", "signature", "fine")
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of documents (doc_id, text)."""
     documents = documents.select("doc_id", "text")
@@ -263,23 +307,16 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     links = checkpointed(confirm(documents, classes, pairs))
     labels = checkpointed(connected(links))
 
-    # What is still apart: all pairs of different components within a key, in blocks.
-    labelled = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = checkpointed(labelled.join(apart, "key"))
-    texts, wanted = texts_of(documents, classes, rest.select("node"))
-    fine = texts.mapInArrow(_fine, "class binary, fine binary").dropDuplicates(["class"])
-    info = info.join(fine.join(wanted, "class").select("node", "fine"), "node")
-    rest = rest.withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
-    rest = rest.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rest = rest.select("key", "number", "node", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    rest = rest.join(info, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = rest.select("key", "number", "i", "j", "part", "node", "component", "n", "signature", "fine").mapInArrow(_block_pairs, "a bigint, b bigint")
-    more = checkpointed(more.join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.union(confirm(documents, classes, more))
-        labels = checkpointed(connected(links))
+    # What is still apart within a key: first the nearest ones in blocks, then all pairs of different components that are left.
+    for find in (_forests, _pairs_of):
+        labelled = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        apart = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+        rest = checkpointed(labelled.join(apart, "key"))
+        more = checkpointed(in_blocks(documents, classes, rest).mapInArrow(_blocks(find), "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            pairs = checkpointed(pairs.union(more))
+            links = checkpointed(links.union(confirm(documents, classes, more)))
+            labels = checkpointed(connected(links))
 
     found = classes.select("class", "node", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
