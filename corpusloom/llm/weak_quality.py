@@ -26,7 +26,7 @@ from corpusloom.llm.common import SPACE_FREE, mix, text_slices, word_hashes, wor
 LABELLERS = 8
 SAMPLE = 4000
 DIM = 1 << 12
-THRESHOLD = 0.4
+THRESHOLD = 0.3
 ABSTAIN, BAD, GOOD = 0, 1, 2
 #: Prior of a vote (abstain, bad, good) given the class (bad, good), as heavy as all documents: labellers are better than chance.
 BELIEF = np.array([[0.5, 0.3, 0.2], [0.59, 0.01, 0.4]])
@@ -105,7 +105,7 @@ def votes(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.nd
 
 
 def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, words: np.ndarray) -> Iterator[np.ndarray]:
-    """A vector of DIM hashed counts, log-scaled and normalised (a text of few words to less than one) for each document: words in one half, in the other the collapsed
+    """A vector of DIM hashed counts, log-scaled, of unit length by halves, for each document: words in one half, in the other the collapsed
     shapes of words, or for words that repeat the one before them a mark of that."""
     half = np.uint64(DIM // 2)
     shape = _SHAPE[data]
@@ -120,7 +120,7 @@ def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.nda
     for a, b in zip(first[:-1], first[1:], strict=True):
         vector = np.log1p(np.bincount(slots[:, a:b].ravel(), minlength=DIM))
         for part in (vector[: DIM // 2], vector[DIM // 2 :]):
-            part /= 2 + np.sqrt((part * part).sum())
+            part /= max(1e-9, np.sqrt((part * part).sum()))
         yield vector
 
 
