@@ -32,12 +32,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(base: str, *frames: DataFrame) -> str:
+    """base, or base with underscores added until no frame has such a column (names are compared as Spark does)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while base in taken:
+        base += "_"
+    return base
+
+
 def semi_by_size(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
     """Semi or anti join of df with a key column (null-safe): broadcast only while the counted keys fit the bound."""
-    key = keys.select(F.col(on).alias("_semi_key"))
+    name = free_name("semi_key", df)
+    key = keys.select(F.col(on).alias(name))
     if key.count() * 16 <= BROADCAST_BYTES:
         key = F.broadcast(key)
-    return df.join(key, df[on].eqNullSafe(F.col("_semi_key")), how)
+    return df.join(key, F.col(on).eqNullSafe(F.col(name)), how)
 
 
 def word_array(text) -> F.Column:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import LOWER, text_slices
+from corpusloom.llm.common import LOWER, free_name, text_slices
 from corpusloom.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -115,16 +115,10 @@ def phrase_blocks(benchmark: DataFrame, window: int, block_bytes: int = BLOCK_BY
         yield Phrases(held, window)
 
 
-def _free(base: str, taken: list[str]) -> str:
-    while base in taken:
-        base += "_"
-    return base
-
-
 def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
     """documents with one more column, whose name comes second: struct(n_words, spans of words, item ids)."""
     spark = documents.sparkSession
-    found = _free("decontamination", documents.columns)
+    found = free_name("decontamination", documents)
     kind = T.StructType.fromDDL("n_words bigint, spans array<struct<start: bigint, end: bigint>>, items array<string>")
     schema = T.StructType([*documents.schema.fields, T.StructField(found, kind)])
     out_type = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])

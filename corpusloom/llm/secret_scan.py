@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import BROADCAST_BYTES, checkpointed
+from corpusloom.llm.common import BROADCAST_BYTES, checkpointed, free_name
 
 
 @dataclass(frozen=True)
@@ -131,16 +131,17 @@ def redacted(documents: DataFrame, mark: str = "[secret]") -> DataFrame:
     runs = findings.withColumn("run", (F.col("start") > F.coalesce(before, F.lit(-1))).cast("int"))
     runs = runs.withColumn("run", F.sum("run").over(order)).groupBy("blob", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     cuts = runs.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    cuts = checkpointed(cuts.withColumnRenamed("blob", "found_blob").withColumnRenamed("cuts", "found_cuts"))
-    bytes_held = cuts.agg(F.sum(96 + 16 * F.size("found_cuts"))).first()[0] or 0
+    blob, found = free_name("found_blob", documents), free_name("found_cuts", documents)
+    cuts = checkpointed(cuts.select(F.col("blob").alias(blob), F.col("cuts").alias(found)))
+    bytes_held = cuts.agg(F.sum(96 + 16 * F.size(found))).first()[0] or 0
     cuts = F.broadcast(cuts) if bytes_held <= BROADCAST_BYTES else cuts
-    rows = documents.join(cuts, blob_of(documents["text"]) == cuts["found_blob"], "left")
+    rows = documents.join(cuts, blob_of(F.col("text")) == F.col(blob), "left")
     edges = F.arrays_zip(
-        F.concat(F.array(F.lit(0).cast("bigint")), F.col("found_cuts")["end"]).alias("low"),
-        F.concat(F.col("found_cuts")["start"], F.array(F.length("text").cast("bigint"))).alias("high"),
+        F.concat(F.array(F.lit(0).cast("bigint")), F.col(found)["end"]).alias("low"),
+        F.concat(F.col(found)["start"], F.array(F.length("text").cast("bigint"))).alias("high"),
     )
     kept = F.transform(edges, lambda x: F.substring(F.col("text"), (x["low"] + 1).cast("int"), (x["high"] - x["low"]).cast("int")))
-    new = {"text": F.when(F.col("found_cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, mark))}
+    new = {"text": F.when(F.col(found).isNull(), F.col("text")).otherwise(F.array_join(kept, mark))}
     if "n_chars" in documents.columns:
-        new["n_chars"] = F.when(F.col("found_cuts").isNull(), F.col("n_chars")).otherwise(F.length(new["text"]).cast("bigint"))
+        new["n_chars"] = F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.length(new["text"]).cast("bigint"))
     return rows.withColumns(new).select(documents.columns)

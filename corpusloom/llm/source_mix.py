@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import BROADCAST_BYTES, checkpointed, word_array
+from corpusloom.llm.common import BROADCAST_BYTES, checkpointed, free_name, word_array
 
 WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
@@ -93,9 +93,10 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 def mixed(documents: DataFrame, **options) -> DataFrame:
     """documents that the mix takes, with size, copies (1 to MOST_EPOCHS) and taken; rows of one doc_id share the most copies."""
-    taken = mix(documents, **options).groupBy("doc_id").agg(F.max("size").alias("size"), F.max("copies").alias("copies"), F.max("taken").alias("taken"))
-    taken = checkpointed(taken.where("copies > 0").withColumnRenamed("doc_id", "mix_doc_id"))
+    name = free_name("mix_doc_id", documents)
+    taken = mix(documents, **options).groupBy(F.col("doc_id").alias(name)).agg(F.max("size").alias("size"), F.max("copies").alias("copies"), F.max("taken").alias("taken"))
+    taken = checkpointed(taken.where("copies > 0"))
     if taken.count() * 48 <= BROADCAST_BYTES:
         taken = F.broadcast(taken)
-    clash = [c for c in ("size", "copies", "taken") if c in documents.columns]
-    return documents.drop(*clash).join(taken, documents["doc_id"].eqNullSafe(taken["mix_doc_id"])).drop("mix_doc_id")
+    clash = [c for c in documents.columns if c.lower() in ("size", "copies", "taken")]
+    return documents.drop(*clash).join(taken, F.col("doc_id").eqNullSafe(F.col(name))).drop(name)
