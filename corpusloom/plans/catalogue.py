@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import alignment, audit, entities, evaluation, occurrences, rag, retrieval, sampling, spans
+from corpusloom.operators import alignment, audit, entities, evaluation, linking, occurrences, rag, retrieval, sampling, spans
 from corpusloom.sources import html
 from corpusloom.streaming.occurrence_stream import windowed_counts
 
@@ -591,3 +591,48 @@ ONTOLOGY_RELATIONS = (("joins", ["CONJUNCTION"], ["PHRASE", "CLAUSE"]), ("marks"
 def ontology_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = spark.createDataFrame([(t,) for t in ONTOLOGY_TYPES], "name string")
     return entities.ontology_violations(types, spark.createDataFrame(list(ONTOLOGY_RELATIONS), "name string, domain array<string>, range array<string>"))
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = conversation_records(spark, sf_dir).where("pozhppurai <> ''").select("record_id", "verse", "pozhppurai")
+    return linking.candidate_features(records, "record_id", "verse", "pozhppurai")
+
+
+@registered(None)
+def link_best_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linking.best_links(_links(spark, sf_dir), "record_id", "line_no")
+    return out.select("record_id", "line_no", "segment_no", "segment_end_no", "score", "score_margin", "candidate_count", "confidence", "diagnostic")
+
+
+_PROMOTED = """SELECT doc_id, n_chars % 3 AS c, CASE WHEN w = 'medium' AND p >= 0.42 AND n >= 2 THEN 'high' WHEN w = 'low' AND p >= 0.6 AND n >= 1 THEN 'high' WHEN w = 'low' AND p >= 0.38 AND n >= 2 THEN 'medium' ELSE w END AS confidence
+FROM (SELECT doc_id, n_chars, ['high', 'medium', 'low'][doc_id % 3 + 1] AS w, (doc_id % 97) / 100 AS p, doc_id % 4 AS n FROM documents)"""
+
+
+@registered(_PROMOTED)
+def link_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    names = F.array(F.lit("rule"), F.lit("anchor"), F.lit("cue"))
+    rows = docs.select(
+        "doc_id", (F.col("n_chars") % 3).alias("c"), F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), (F.col("doc_id") % 3 + 1).cast("int")).alias("confidence"),
+        ((F.col("doc_id") % 97) / 100).alias("learned_pattern_score"), F.slice(names, 1, (F.col("doc_id") % 4).cast("int")).alias("evidence"), F.lit(0.3).alias("score"), F.lit(False).alias("manual_review_required"),
+    )
+    return linking.promoted(rows, F.lit(False)).select("doc_id", "c", "confidence")
+
+
+@registered("SELECT 'lang' AS dimension, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source")
+def link_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.summary(table(spark, sf_dir, "documents"), ["lang", "source"])
+
+
+@registered(
+    "SELECT CASE WHEN l_quantity > 40 THEN 'critical' ELSE 'minor' END AS severity, code, count(*) AS n FROM (SELECT l_quantity, unnest(list_filter([CASE WHEN l_quantity > 40 THEN 'large' END, CASE WHEN l_discount = 0 AND l_quantity <= 40 THEN 'no_discount' END], lambda x: x IS NOT NULL)) AS code FROM lineitem) GROUP BY ALL"
+)
+def audit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("critical", "large", F.col("l_quantity") > 40), ("minor", "no_discount", (F.col("l_discount") == 0) & (F.col("l_quantity") <= 40))]
+    return audit.audit(audit.issues(table(spark, sf_dir, "lineitem"), "l_orderkey", rules))
+
+
+@registered("SELECT term, count(*) AS n FROM (SELECT item_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]), list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]))) AS term FROM (SELECT item_id, %s AS t FROM benchmark)) GROUP BY term" % (_TOKENS % "text"))
+def word_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark").select(tx.search_tokens(F.col("text")).alias("t"))
+    return rows.select(F.explode(tx.word_ngrams(F.col("t"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
