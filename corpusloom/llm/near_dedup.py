@@ -33,10 +33,10 @@ CHUNKS, CHUNK = 12, 5
 SYMBOLS = CHUNKS * CHUNK
 RADIUS = 2 * CHUNKS - 1
 PERCENT = 85
-BLOCK = 1024
-#: A second, longer sketch of 8-bit symbols, for pairs within RADIUS only: at the similarity 76.5 symbols differ, and
-#: more than FINE_RADIUS with a probability below 1e-7.
-FINE, FINE_RADIUS = 512, 122
+BLOCK = 2048
+#: A second, longer sketch of single bits, for pairs within RADIUS only: at the similarity 76.8 bits differ, and more than
+#: FINE_RADIUS with a probability of about 1e-7.
+FINE, FINE_RADIUS = 1024, 124
 
 _RNG = np.random.RandomState(20240611)
 _A = (_RNG.randint(0, 1 << 62, SYMBOLS + FINE, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -120,7 +120,7 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, sketches = [], []
         for values in shingles(batch.column(0)):
             classes.append(digest(values))
-            sketches.append((minima(values, slice(SYMBOLS, None)) >> np.uint64(56)).astype(np.uint8).tobytes())
+            sketches.append(np.packbits((minima(values, slice(SYMBOLS, None)) >> np.uint64(63)).astype(bool)).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(sketches, pa.binary())], ["class", "fine"])
 
 
@@ -186,7 +186,7 @@ def _forests(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Each group's minimum spanning forest by sketch distance (Prim), but for edges within a component: no more pairs than rows."""
     node, component, n = (table[c].to_numpy() for c in ("node", "component", "n"))
     symbols = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-    fine = np.frombuffer(b"".join(table["fine"].to_pylist()), np.uint8).reshape(-1, FINE)
+    fine = np.frombuffer(b"".join(table["fine"].to_pylist()), np.uint64).reshape(-1, FINE // 64)
     found_a, found_b = [], []
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         open_rows = np.arange(lo, hi)
@@ -201,7 +201,7 @@ def _forests(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
             same = component[open_rows] == component[at]
             to = open_rows[~same & (100 * n[open_rows] >= PERCENT * n[at]) & (100 * n[at] >= PERCENT * n[open_rows])]
             to = to[(symbols[to] != symbols[at]).sum(axis=1) <= RADIUS]
-            own = np.maximum((fine[to] != fine[at]).sum(axis=1), 1)
+            own = np.maximum(np.bitwise_count(fine[to] ^ fine[at]).sum(axis=1, dtype=np.int64), 1)
             closer = own < distance[to - lo]
             distance[to[closer] - lo], source[to[closer] - lo] = own[closer], at
             distance[open_rows[same] - lo] = 0
@@ -212,7 +212,7 @@ def _forests(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
 def _pairs_of(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
     number, node, component, n, part, i, j = (table[c].to_numpy() for c in ("number", "node", "component", "n", "part", "i", "j"))
     symbols = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-    fine = np.frombuffer(b"".join(table["fine"].to_pylist()), np.uint8).reshape(-1, FINE)
+    fine = np.frombuffer(b"".join(table["fine"].to_pylist()), np.uint64).reshape(-1, FINE // 64)
     found_a, found_b, held = [], [], 0
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         left = np.flatnonzero(part[lo:hi] == i[lo]) + lo
@@ -224,7 +224,7 @@ def _pairs_of(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(to):
                 differ = symbols[to] != symbols[at]
                 near = np.flatnonzero(differ.sum(axis=1) <= RADIUS)
-                near = near[(fine[to[near]] != fine[at]).sum(axis=1) <= FINE_RADIUS]
+                near = near[np.bitwise_count(fine[to[near]] ^ fine[at]).sum(axis=1, dtype=np.int64) <= FINE_RADIUS]
                 near = near[first_key(differ[near]) == number[at]]
                 if len(near):
                     found_a.append(np.full(len(near), node[at]))
@@ -268,19 +268,23 @@ def confirm(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataF
     ).select("a", "b")
 
 
-def in_blocks(documents: DataFrame, classes: DataFrame, rest: DataFrame) -> DataFrame:
+def in_blocks(rest: DataFrame, sketches: DataFrame) -> DataFrame:
     """Rows (key, number, node, members, component) with sketches, dealt and sorted by key and pair of blocks (i, j) of its rows."""
-    texts, wanted = texts_of(documents, classes, rest.select("node"))
-    fine = texts.mapInArrow(_fine, "class binary, fine binary").dropDuplicates(["class"]).join(wanted, "class").select("node", "fine")
-    info = classes.select("node", "n", "signature").join(fine, "node")
     rest = rest.withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
     rest = rest.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rest = rest.select("key", "number", "node", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    rest = rest.join(info, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rest = rest.join(sketches, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rest.select("key", "number", "i", "j", "part", "node", "component", "n", "signature", "fine")
 
 
+def sketches_of(documents: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, n, signature, fine of some nodes."""
+    texts, wanted = texts_of(documents, classes, nodes)
+    fine = texts.mapInArrow(_fine, "class binary, fine binary").dropDuplicates(["class"]).join(wanted, "class").select("node", "fine")
+    return checkpointed(classes.select("node", "n", "signature").join(fine, "node"))
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of documents (doc_id, text)."""
     documents = documents.select("doc_id", "text")
@@ -308,11 +312,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     labels = checkpointed(connected(links))
 
     # What is still apart within a key: first the nearest ones in blocks, then all pairs of different components that are left.
+    sketches = None
     for find in (_forests, _pairs_of):
         labelled = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         apart = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
         rest = checkpointed(labelled.join(apart, "key"))
-        more = checkpointed(in_blocks(documents, classes, rest).mapInArrow(_blocks(find), "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti"))
+        sketches = sketches or sketches_of(documents, classes, rest.select("node"))  # later rows are some of the first
+        more = checkpointed(in_blocks(rest, sketches).mapInArrow(_blocks(find), "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             pairs = checkpointed(pairs.union(more))
             links = checkpointed(links.union(confirm(documents, classes, more)))
