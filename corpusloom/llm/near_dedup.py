@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import SPACE_FREE, checkpointed, mix, semi_by_size, text_slices, word_hashes, word_spans
+from corpusloom.llm.common import BROADCAST_BYTES, SPACE_FREE, checkpointed, mix, semi_by_size, text_slices, word_hashes, word_spans
 
 WIDTH = 5
 CHUNKS, CHUNK = 12, 5
@@ -261,6 +261,8 @@ def confirm(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataF
     texts, wanted = texts_of(documents, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     sets = texts.mapInArrow(_sets, "class binary, set array<bigint>").dropDuplicates(["class"])
     sets = checkpointed(sets.join(wanted, "class").select("node", "set"))
+    if (sets.agg(F.sum(64 + 8 * F.size("set"))).first()[0] or 0) <= BROADCAST_BYTES:
+        sets = F.broadcast(sets)
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b")).cast("bigint")
     return both.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).cast("bigint").alias("total")).where(
