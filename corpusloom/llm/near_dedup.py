@@ -34,6 +34,8 @@ SYMBOLS = CHUNKS * CHUNK
 RADIUS = 2 * CHUNKS - 1
 PERCENT = 85
 BLOCK = 2048
+#: Edges that a task of the component rounds reads at least, lest few edges be spread over very many files.
+EDGES_A_TASK = 50_000
 #: A second, longer sketch of single bits, for pairs within RADIUS only: at the similarity 76.8 bits differ, and more than
 #: FINE_RADIUS with a probability of about 1e-7.
 FINE, FINE_RADIUS = 1024, 124
@@ -147,9 +149,11 @@ def chunk_keys(signature_column) -> F.Column:
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) of the ends of edges (a, b): large-star and small-star rounds until nothing changes."""
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    if edges.isEmpty():
+    rows = edges.count()
+    if not rows:
         return edges.toDF("node", "component")
     while True:
+        edges = edges.coalesce(1 + rows // EDGES_A_TASK)
         both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
