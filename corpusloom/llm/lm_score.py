@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import SPACE_FREE, checkpointed, mix, text_slices, word_hashes, word_spans
 
 BITS, PROBES, MIXED = 10, 7, 0.7
-BUCKET_TOKENS = 2 << 20
+BUCKET_TOKENS = 1 << 20
 SEGMENT_BYTES, SEGMENTS = 64 << 20, 3
-FLUSH_TOKENS = 3 << 20
+FLUSH_TOKENS = 3 << 19
 END = np.uint64(0x2545F4914F6CDD1D)
 
 
