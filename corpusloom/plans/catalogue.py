@@ -636,3 +636,34 @@ def audit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark").select(tx.search_tokens(F.col("text")).alias("t"))
     return rows.select(F.explode(tx.word_ngrams(F.col("t"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@registered(r"SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<script')) AS BIGINT) AS scripts, CAST(len(regexp_extract_all(html, '(?i)<a\s')) AS BIGINT) AS links, CAST(len(regexp_extract_all(html, '(?i)<p[\s>]')) AS BIGINT) AS paragraphs FROM pages")
+def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.findings(table(spark, sf_dir, "pages")).select("page_id", "scripts", "links", "paragraphs")
+
+
+@registered(r"SELECT page_id, regexp_replace(trim(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '[^A-Za-z0-9]+', '-', 'g'), '-'), '^$', 'index') || '-' || substr(sha256(html), 1, 12) || '.html' AS snapshot_name FROM pages")
+def page_snapshot_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", html.snapshot_name(F.col("url"), F.col("html")).alias("snapshot_name"))
+
+
+@registered(r"SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*', 0) || '/The' AS rooted, 'http://a.example/x' AS absolute FROM pages")
+def page_resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", html.resolve(F.col("url"), F.lit("/The")).alias("rooted"), html.resolve(F.col("url"), F.lit("http://a.example/x")).alias("absolute"))
+
+
+@registered("SELECT l_suppkey, l_partkey, count(DISTINCT l_orderkey) AS owners FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_orderkey) > 1")
+def many_owner_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.groupBy("l_suppkey", "l_partkey").agg(F.count_distinct("l_orderkey").alias("owners")).where("owners > 1")
+
+
+@registered("SELECT a.conv_id, a.turn, CASE WHEN instr(a.text, left(b.text, 5)) > 0 THEN instr(a.text, left(b.text, 5)) - 1 ELSE -1 END AS at FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE instr(a.text, left(b.text, 5)) > 0")
+def exact_phrase_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.functions.find import find_exact
+
+    turns = table(spark, sf_dir, "conversations")
+    rows = turns.withColumn("phrase", F.substring(F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")), 1, 5)).where("phrase is not null")
+    rows = rows.withColumn("span", find_exact("text", "phrase")).where("span.method = 'exact'")
+    return rows.select("conv_id", "turn", F.col("span.start").cast("bigint").alias("at"))

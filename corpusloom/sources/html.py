@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
@@ -141,3 +141,37 @@ def parse(family: str, pages: DataFrame) -> DataFrame:
     if family not in PARSERS:
         raise ValueError(f"unknown parser family: {family}")
     return PARSERS[family](pages)
+
+
+def table_rows(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, row_no, cells of every table row with the text of its cells."""
+    rows = pages.select(key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("row_no", "row"))
+    cells = F.regexp_extract_all("row", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1))
+    return rows.select(key, "row_no", F.transform(cells, strip_tags).alias("cells"))
+
+
+def text_blocks(pages: DataFrame, key: str = "page_id", html: str = "html", least: int = 20, first: int = 80) -> DataFrame:
+    """key, block_no, text: paragraphs, items and headings of at least so many characters, the first ones of each page."""
+    blocks = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<(?:p|li|h[1-6]|td|blockquote)\b[^>]*>(.*?)</(?:p|li|h[1-6]|td|blockquote)>"), F.lit(1))
+    kept = F.slice(F.filter(F.transform(blocks, strip_tags), lambda x: F.length(x) >= least), 1, first)
+    return pages.select(key, F.posexplode(kept).alias("block_no", "text"))
+
+
+def label_counts(pages: DataFrame, labels: list[str], key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, label, n of labels that a page's text has, not overlapping."""
+    text = strip_tags(F.col(html))
+    rows = pages.select(key, text.alias("_text"))
+    count = lambda label: ((F.length("_text") - F.length(F.replace(F.col("_text"), F.lit(label), F.lit("")))) / len(label)).cast("bigint")
+    each = F.array(*[F.struct(F.lit(label).alias("label"), count(label).alias("n")) for label in labels])
+    return rows.select(key, F.inline(each)).where("n > 0")
+
+
+def hidden_elements(html) -> Column:
+    """Tags that a style or class hides."""
+    return F.regexp_extract_all(html, F.lit(r"""(?is)<[a-z][^>]*(?:display\s*:\s*none|visibility\s*:\s*hidden|class="[^"]*\bhidden\b)[^>]*>"""), F.lit(0))
+
+
+def crawl_order(found: DataFrame, key: str, url: str, position: str) -> DataFrame:
+    """Each url of a page once, at its first position, with its ordinal from 1."""
+    firsts = found.groupBy(key, url).agg(F.min(position).alias("position"))
+    return firsts.withColumn("ordinal", F.row_number().over(Window.partitionBy(key).orderBy("position", url)))

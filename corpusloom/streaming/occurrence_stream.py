@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 def windowed_counts(events: DataFrame, time: str, by: list[str], width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
     """Counts by window and key of a stream or a table; rows later than the lateness are dropped from a stream."""
-    rows = events.withWatermark(time, lateness) if events.isStreaming else events
+    # A watermark needs a time with a zone.
+    rows = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness) if events.isStreaming else events
     out = rows.groupBy(F.window(time, width).alias("w"), *by).agg(F.count("*").alias("n"))
     return out.select(F.col("w.start").alias("window_start"), *by, "n")
