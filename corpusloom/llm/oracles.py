@@ -164,3 +164,47 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_hit, coale
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+
+def _level(k: int, levels: int = 4) -> str:
+    """One level of the template tree: shapes of level k - 1 with their parents' purity in, with their own out."""
+    segment = f"coalesce(shape[{k + 1}], '')" if k < levels - 1 else f"array_to_string(shape[{levels}:], '/')"
+    return f"""
+a{k} AS (SELECT host, shape, urls, allowed, labelled, prior, template AS parent, {segment} AS segment FROM s{k}),
+n{k} AS (
+  SELECT *, CASE WHEN count(*) OVER w > 16 AND urls < CAST(0.05 AS DOUBLE) * sum(urls) OVER w AND segment <> '' THEN '*' ELSE segment END AS general
+  FROM (SELECT host, parent, segment, sum(urls) AS urls, sum(allowed) AS allowed, sum(labelled) AS labelled, max(prior) AS prior FROM a{k} GROUP BY ALL) WINDOW w AS (PARTITION BY host, parent)
+), g{k} AS (
+  SELECT *, (allowed + 8 * prior) / (labelled + 8) AS share FROM (SELECT host, parent, general, sum(allowed) AS allowed, sum(labelled) AS labelled, max(prior) AS prior FROM n{k} GROUP BY ALL)
+), o{k} AS (SELECT *, lag(allowed) OVER w AS ab, lag(labelled) OVER w AS lb FROM g{k} WINDOW w AS (PARTITION BY host, parent ORDER BY share, general)),
+d{k} AS (
+  SELECT *, CASE WHEN lb IS NULL THEN 1 WHEN labelled > 0 AND lb > 0 THEN
+      CASE WHEN (allowed / labelled - ab / lb) * (allowed / labelled - ab / lb) > CAST(3.8415999999999997 AS DOUBLE) * (((allowed + ab) / (labelled + lb)) * (1 - (allowed + ab) / (labelled + lb)) * (1 / labelled + 1 / lb)) THEN 1 ELSE 0 END
+    WHEN (labelled > 0) <> (lb > 0) THEN 1 ELSE 0 END AS apart FROM o{k}
+), b{k} AS (SELECT *, sum(apart) OVER (PARTITION BY host, parent ORDER BY share, general ROWS UNBOUNDED PRECEDING) AS branch FROM d{k}),
+p{k} AS (SELECT host, parent, general, (sum(allowed) OVER w + 8 * prior) / (sum(labelled) OVER w + 8) AS purity FROM b{k} WINDOW w AS (PARTITION BY host, parent, branch)),
+s{k + 1} AS (
+  SELECT a.host, a.shape, a.urls, a.allowed, a.labelled, purity AS prior, a.parent || '/' || n.general AS template
+  FROM a{k} a JOIN n{k} n ON a.host = n.host AND a.parent = n.parent AND a.segment = n.segment JOIN p{k} p ON p.host = n.host AND p.parent = n.parent AND p.general = n.general
+)"""
+
+
+OP10 = rf"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), r AS (
+  SELECT *, CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule,
+    string_split(regexp_replace(regexp_replace(path, '^/+', ''), '[0-9]+', '0', 'g'), '/') AS shape
+  FROM h
+), v AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM r),
+c AS (SELECT host, shape, CAST(count(*) AS DOUBLE) AS urls, CAST(count(*) FILTER (ruled = 'allow') AS DOUBLE) AS allowed, CAST(count(ruled) AS DOUBLE) AS labelled FROM v GROUP BY ALL),
+e AS (SELECT (coalesce(sum(allowed), 0) + 8) / (coalesce(sum(labelled), 0) + 8) AS overall FROM c),
+s0 AS (SELECT *, (sum(allowed) OVER w + 8 * (SELECT overall FROM e)) / (sum(labelled) OVER w + 8) AS prior, '' AS template FROM c WINDOW w AS (PARTITION BY host)),
+{",".join(_level(k) for k in range(4))}
+SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN prior < 0.2 THEN 'block' ELSE 'allow' END) AS verdict, rtrim(template, '/') AS template, round(prior, 6) AS purity
+FROM v JOIN s4 ON v.host = s4.host AND v.shape = s4.shape
+"""

@@ -84,4 +84,5 @@ ORACLES = {
     "op4_chat_format": oracles.OP4,
     "op6_source_mix": oracles.OP6,
     "op7_decontaminate": oracles.OP7,
+    "op10_url_filter": oracles.OP10,
 }
