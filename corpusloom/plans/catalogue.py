@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import alignment, audit, entities, evaluation, linking, occurrences, rag, retrieval, sampling, spans
+from corpusloom.operators import alignment, audit, entities, evaluation, linking, occurrences, rag, records, reports, retrieval, sampling, spans
 from corpusloom.sources import html
 from corpusloom.streaming.occurrence_stream import windowed_counts
 
@@ -667,3 +667,40 @@ def exact_phrase_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turns.withColumn("phrase", F.substring(F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")), 1, 5)).where("phrase is not null")
     rows = rows.withColumn("span", find_exact("text", "phrase")).where("span.method = 'exact'")
     return rows.select("conv_id", "turn", F.col("span.start").cast("bigint").alias("at"))
+
+
+@registered("SELECT lang, count(*) AS n, min(n_chars) AS low, max(n_chars) AS high, CAST(sum(n_chars) AS BIGINT) AS total FROM documents GROUP BY lang")
+def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.group_statistics(table(spark, sf_dir, "documents"), "lang", "n_chars")
+
+
+@registered("SELECT count(n_chars) AS n, min(n_chars) AS low, max(n_chars) AS high, CAST(quantile_cont(n_chars, 0.5) AS DOUBLE) AS median FROM documents")
+def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.score_summary(table(spark, sf_dir, "documents"), "n_chars").select("n", "low", "high", "median")
+
+
+@registered("SELECT source, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'es') AS es FROM documents GROUP BY source")
+def source_language_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.crosstab(table(spark, sf_dir, "documents"), "source", "lang", ["en", "fr", "de", "es"])
+
+
+@registered("SELECT b, count(*) AS n FROM (SELECT CASE WHEN n_chars < 500 THEN '<500' WHEN n_chars < 2000 THEN '500-2000' WHEN n_chars < 5000 THEN '2000-5000' ELSE '>=5000' END AS b FROM documents) GROUP BY b")
+def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(reports.bucket(F.col("n_chars"), [500, 2000, 5000]).alias("b"))
+    return rows.groupBy("b").agg(F.count("*").alias("n"))
+
+
+@registered(
+    r"""SELECT conv_id, turn, 'record_' || conv_id || '_' || turn AS record_id, CASE WHEN role = 'assistant' THEN 'partial_commentary' ELSE 'no_commentary' END AS extraction_status,
+  lpad(CAST(conv_id AS VARCHAR), CAST(greatest(4, length(CAST(conv_id AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(turn AS VARCHAR), 4, '0') AS rank_key FROM conversations"""
+)
+def enriched_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    rows = turns.select("text", F.when(F.col("role") == "assistant", F.col("text")).alias("note"), F.lit("").alias("gloss"), "role", F.col("conv_id").cast("string").alias("c"), F.col("turn").cast("string").alias("t"))
+    out = records.enriched(rows, "text", "note", "gloss", "role", "role", "c", "t")
+    return out.select(F.col("hymn_id").cast("bigint").alias("conv_id"), F.col("song_no").cast("bigint").alias("turn"), "record_id", "extraction_status", "rank_key")
+
+
+@registered("SELECT CAST(doc_id AS VARCHAR) AS key, 'source' AS field, 'wrong_type' AS problem FROM documents UNION ALL SELECT CAST(doc_id AS VARCHAR), 'author', 'absent' FROM documents")
+def schema_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.contract(table(spark, sf_dir, "documents"), "doc_id", {"doc_id": "bigint", "text": "string", "source": "int", "author": "string"})
