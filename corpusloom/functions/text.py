@@ -153,17 +153,21 @@ def compact(text) -> Column:
 def char_ngrams(text, n: int = 3) -> Column:
     """Distinct n-grams of the compact text; the whole of it where it isn't longer than n."""
     c = compact(text)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
-    return F.when(c == "", F.array().cast("array<string>")).when(F.length(c) <= n, F.array(c)).otherwise(F.array_distinct(grams))
+    grams = F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+    return F.when(c == "", F.array().cast("array<string>")).when(F.length(c) <= n, F.array(c)).otherwise(grams)
+
+
+def _joined(n: int):
+    return lambda x: F.concat_ws(" ", *[x[f"w{k}"] for k in range(n)])
 
 
 def word_ngrams(tokens, most: int = 3) -> Column:
     """All word n-grams from one to `most` words, in order of length and place."""
-    def joined(n: int):
-        return lambda i: F.array_join(F.slice(tokens, i, n), " ")
-
-    none = F.array().cast("array<string>")
-    grams = [F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), joined(n))).otherwise(none) for n in range(1, most + 1)]
+    # Shifted copies are zipped, as a lambda that looked tokens up again would evaluate them at every step.
+    grams = [tokens]
+    for n in range(2, most + 1):
+        shifted = F.arrays_zip(*[F.slice(tokens, k + 1, F.greatest(F.size(tokens), F.lit(1))).alias(f"w{k}") for k in range(n)])
+        grams.append(F.slice(F.transform(shifted, _joined(n)), 1, F.greatest(F.size(tokens) - n + 1, F.lit(0))))
     return F.concat(*grams)
 
 

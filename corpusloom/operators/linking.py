@@ -44,21 +44,23 @@ def candidate_features(records: DataFrame, key: str, source: str, target: str, m
     lines = lines.withColumn("lines", F.count("*").over(Window.partitionBy(key)))
     clauses = spans.segment_spans(records, key, target)
     counts = clauses.withColumn("segments", F.count("*").over(Window.partitionBy(key))).select(key, "segments").distinct()
-    windows = spans.segment_windows(clauses, key, most).join(counts, key)
-    rows = lines.join(windows, key).join(records.select(key, F.col(target).alias("_whole")), key)
-    rows = rows.withColumn("target_text", F.substring("_whole", (F.col("start_char") + 1).cast("int"), (F.col("end_char") - F.col("start_char")).cast("int"))).drop("_whole")
-    a, b = tx.search_tokens(F.col("source_text")), tx.search_tokens(F.col("target_text"))
+    windows = spans.segment_windows(clauses, key, most).join(counts, key).join(records.select(key, F.col(target).alias("_whole")), key)
+    windows = windows.withColumn("target_text", F.substring("_whole", (F.col("start_char") + 1).cast("int"), (F.col("end_char") - F.col("start_char")).cast("int"))).drop("_whole")
+    # Sets are made once for a line and once for a window, not for each pair.
+    lines = lines.withColumns({"_a": F.array_distinct(tx.search_tokens(F.col("source_text"))), "_c": tx.char_ngrams(F.col("source_text"))})
+    windows = windows.withColumns({"_b": F.array_distinct(tx.search_tokens(F.col("target_text"))), "_d": tx.char_ngrams(F.col("target_text"))})
+    rows = lines.join(windows, key)
     rows = rows.withColumns(
         {
-            "token_score": tx.jaccard(F.array_distinct(a), F.array_distinct(b)),
-            "char_score": tx.jaccard(tx.char_ngrams(F.col("source_text")), tx.char_ngrams(F.col("target_text"))),
-            "containment_score": tx.containment(F.col("source_text"), F.col("target_text"), a),
+            "token_score": tx.jaccard(F.col("_a"), F.col("_b")),
+            "char_score": tx.jaccard(F.col("_c"), F.col("_d")),
+            "containment_score": tx.containment(F.col("source_text"), F.col("target_text"), F.col("_a")),
             "order_score": order_score(F.col("line_no"), F.col("lines"), F.col("segment_no"), F.col("segment_end_no"), F.col("segments")),
             "synonym_score": F.lit(0.0),
             "entity_score": F.lit(0.0),
         }
     )
-    return rows.withColumn("score", candidate_score())
+    return rows.drop("_a", "_b", "_c", "_d").withColumn("score", candidate_score())
 
 
 def candidate_score() -> Column:

@@ -159,7 +159,8 @@ SELECT conv_id, turn, len(list_intersect(a, b)) / len(list_distinct(list_concat(
 def char_trigram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     rows = turns.withColumn("next_text", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("next_text is not null")
-    return rows.select("conv_id", "turn", tx.jaccard(tx.char_ngrams(F.col("text")), tx.char_ngrams(F.col("next_text"))).alias("similarity"))
+    rows = rows.select("conv_id", "turn", tx.char_ngrams(F.col("text")).alias("a"), tx.char_ngrams(F.col("next_text")).alias("b"))
+    return rows.select("conv_id", "turn", tx.jaccard(F.col("a"), F.col("b")).alias("similarity"))
 
 
 @registered(
@@ -570,11 +571,10 @@ def record_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def align_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of user turns aligned with clauses of the replies, by conversation turn."""
     records = conversation_records(spark, sf_dir).where("pozhppurai <> ''").withColumn("group", F.col("conv_id") * 100_000 + F.col("turn"))
-    lines = spans.segment_spans(records, "group", "verse").select("group", F.col("segment_no").alias("line_no"), "segment_text")
-    clauses = spans.segment_spans(records, "group", "pozhppurai").select("group", F.col("segment_no").alias("first"), F.col("segment_text").alias("clause"))
+    lines = spans.segment_spans(records, "group", "verse").select("group", F.col("segment_no").alias("line_no"), tx.char_ngrams(F.col("segment_text")).alias("a"))
+    clauses = spans.segment_spans(records, "group", "pozhppurai").select("group", F.col("segment_no").alias("first"), tx.char_ngrams(F.col("segment_text")).alias("b"))
     pairs = lines.join(clauses, "group")
-    score = tx.jaccard(tx.char_ngrams(F.col("segment_text")), tx.char_ngrams(F.col("clause")))
-    return alignment.align(pairs.select("group", "line_no", "first", F.col("first").alias("last"), score.alias("score")))
+    return alignment.align(pairs.select("group", "line_no", "first", F.col("first").alias("last"), tx.jaccard(F.col("a"), F.col("b")).alias("score")))
 
 
 @registered("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
