@@ -118,7 +118,10 @@ def secrets(documents: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row of documents (doc_id, text)."""
     _, findings = scan(documents.select("text"), ledger)
     paths = documents.select("doc_id", blob_of(F.col("text")).alias("blob"))
-    out = paths.join(listed(findings), "blob", "left")
+    by_blob = checkpointed(listed(findings))
+    if (by_blob.agg(F.sum(256 + F.length("spans"))).first()[0] or 0) <= BROADCAST_BYTES:
+        by_blob = F.broadcast(by_blob)  # else a blob with very many paths would meet them in one task
+    out = paths.join(by_blob, "blob", "left")
     none = {f"n_{k}": F.coalesce(f"n_{k}", F.lit(0).cast("bigint")) for k in BASE}
     return out.withColumns(none | {"base_sha256": F.coalesce("base_sha256", F.sha2(F.lit(""), 256)), "spans": F.coalesce("spans", F.lit(""))}).drop("blob")
 
