@@ -262,7 +262,8 @@ def texts_of(documents: DataFrame, classes: DataFrame, nodes: DataFrame) -> tupl
 
 def confirm(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those pairs (a, b) of nodes whose full shingle sets reach the similarity."""
-    texts, wanted = texts_of(documents, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    ends = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct())
+    texts, wanted = texts_of(documents, classes, ends)
     sets = texts.mapInArrow(_sets, "class binary, set array<bigint>").dropDuplicates(["class"])
     sets = checkpointed(sets.join(wanted, "class").select("node", "set"))
     if (sets.agg(F.sum(64 + 8 * F.size("set"))).first()[0] or 0) <= BROADCAST_BYTES:
