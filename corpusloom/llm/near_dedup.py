@@ -36,9 +36,9 @@ PERCENT = 85
 BLOCK = 2048
 #: Edges that a task of the component rounds reads at least, lest few edges be spread over very many files.
 EDGES_A_TASK = 50_000
-#: A second, longer sketch of single bits, for pairs within RADIUS only: at the similarity 76.8 bits differ, and more than
+#: A second, longer sketch of single bits, for pairs within RADIUS only: at the similarity 153.6 bits differ, and more than
 #: FINE_RADIUS with a probability of about 1e-7.
-FINE, FINE_RADIUS = 1024, 124
+FINE, FINE_RADIUS = 2048, 220
 
 _RNG = np.random.RandomState(20240611)
 _A = (_RNG.randint(0, 1 << 62, SYMBOLS + FINE, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
