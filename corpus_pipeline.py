@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves one document, that of the smallest doc_id, of each group of near duplicates."""
+    """Leaves one document, that of the smallest doc_id, of each group of near duplicates (similarity of 0.8 or more)."""
     return drop_near_duplicates(docs)
 
 

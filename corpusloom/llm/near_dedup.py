@@ -3,8 +3,10 @@
 A document's set holds its distinct 5-word shingles as 64-bit hashes. Each set gets a signature of SYMBOLS b-bit MinHash
 symbols. Two signatures differing in at most RADIUS symbols agree, by pigeonhole, in some chunk of CHUNK symbols but for
 at most one symbol; enumerating that one allowed error gives CHUNK keys a chunk, and two rows meet in a key if and only if
-such a chunk exists. All pairs within the radius are thus found. At similarity 0.85 a symbol differs with
-probability 0.15, so a pair lies beyond the radius of 23 in 60 with probability of about 1e-6.
+such a chunk exists. All pairs within RADIUS are thus found. At similarity 0.85 a symbol differs with probability 0.15, so
+a pair lies beyond 23 of 60 with a probability of about 2e-6. A lower similarity has a larger radius (28 of 60 at 0.80),
+again passed with at most LOST; between RADIUS and that one the keys are no longer certain, but a pair at 0.80 has no such
+chunk with a probability of about 1e-7 only. `limits_at` gives the radii of a similarity.
 
 Equal sets are one class before anything is joined, so that exact copies cost one row. Candidates are confirmed on full
 sets. A group of near copies is first linked to the extreme members of its key buckets; after that only pairs that are
@@ -17,7 +19,10 @@ rows are rows of their own in one class. Only `doc_id` and `text` are read, so f
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -32,13 +37,15 @@ WIDTH = 5
 CHUNKS, CHUNK = 12, 5
 SYMBOLS = CHUNKS * CHUNK
 RADIUS = 2 * CHUNKS - 1
-PERCENT = 85
+#: The similarity of op1's contract, and that of a stage that isn't told another.
+PERCENT, STAGE_PERCENT = 85, 80
 BLOCK = 2048
 #: Edges that a task of the component rounds reads at least, lest few edges be spread over very many files.
 EDGES_A_TASK = 50_000
-#: A second, longer sketch of single bits, for pairs within RADIUS only: at the similarity 153.6 bits differ, and more than
-#: FINE_RADIUS with a probability of about 1e-7.
-FINE, FINE_RADIUS = 2048, 220
+#: A second, longer sketch of single bits, for pairs within the radius only: a bit differs with half the probability of a symbol.
+FINE = 2048
+#: Most probability with which a pair at the similarity may lie beyond the radius (or have no key), and beyond the fine radius.
+LOST, FINE_LOST = 2.5e-6, 7e-8
 
 _RNG = np.random.RandomState(20240611)
 _A = (_RNG.randint(0, 1 << 62, SYMBOLS + FINE, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -46,6 +53,40 @@ _B = _RNG.randint(0, 1 << 62, SYMBOLS + FINE, dtype=np.int64).astype(np.uint64)
 _PLACE = mix(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
+@dataclass(frozen=True)
+class Limits:
+    """A similarity in percent, and in how many symbols and fine bits a pair of that similarity may differ."""
+
+    percent: int
+    radius: int
+    fine_radius: int
+
+    def sizes(self, a, b):
+        """Whether sets of such sizes can reach the similarity."""
+        return (100 * a >= self.percent * b) & (100 * b >= self.percent * a)
+
+
+def _beyond(n: int, chance: float, most: float) -> int:
+    """Least r such that more than r of n independent events of that chance happen with a probability of most at most."""
+    tail = 0.0
+    for k in range(n, 0, -1):
+        tail += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(chance) + (n - k) * math.log1p(-chance))
+        if tail > most:
+            return k
+    return 0
+
+
+def limits_at(percent: int) -> Limits:
+    """The radii of a similarity; below some 75 percent the keys are too few."""
+    apart = 1 - percent / 100
+    if not 0 < apart < 1:
+        raise ValueError("percent must lie between 0 and 100")
+    no_key = (1 - (1 - apart) ** CHUNK - CHUNK * apart * (1 - apart) ** (CHUNK - 1)) ** CHUNKS
+    if no_key > LOST:
+        raise ValueError(f"at {percent} percent a pair has no key in common with a probability of {no_key:.1g}: more chunks are needed")
+    return Limits(percent, _beyond(SYMBOLS, apart, LOST), _beyond(FINE, apart / 2, FINE_LOST))
+
+
 def shingles(column: pa.Array) -> Iterator[np.ndarray]:
     """Each row's set: sorted distinct 64-bit hashes of 5-word shingles, or of all its words where there are fewer."""
     for i, j, data, offsets in text_slices(column):
@@ -186,7 +227,7 @@ def _blocks(find):
     return run
 
 
-def _forests(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _forests(limits: Limits, table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Each group's minimum spanning forest by sketch distance (Prim), but for edges within a component: no more pairs than rows."""
     node, component, n = (table[c].to_numpy() for c in ("node", "component", "n"))
     symbols = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
@@ -198,13 +239,13 @@ def _forests(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         while len(open_rows):
             k = int(distance[open_rows - lo].argmin())
             at = open_rows[k]
-            if 0 < distance[at - lo] <= FINE_RADIUS:
+            if 0 < distance[at - lo] <= limits.fine_radius:
                 found_a.append(node[at])
                 found_b.append(node[source[at - lo]])
             open_rows = np.delete(open_rows, k)
             same = component[open_rows] == component[at]
-            to = open_rows[~same & (100 * n[open_rows] >= PERCENT * n[at]) & (100 * n[at] >= PERCENT * n[open_rows])]
-            to = to[(symbols[to] != symbols[at]).sum(axis=1) <= RADIUS]
+            to = open_rows[~same & limits.sizes(n[open_rows], n[at])]
+            to = to[(symbols[to] != symbols[at]).sum(axis=1) <= limits.radius]
             own = np.maximum(np.bitwise_count(fine[to] ^ fine[at]).sum(axis=1, dtype=np.int64), 1)
             closer = own < distance[to - lo]
             distance[to[closer] - lo], source[to[closer] - lo] = own[closer], at
@@ -213,7 +254,7 @@ def _forests(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield _pair_batch([np.array(found_a)], [np.array(found_b)])
 
 
-def _pairs_of(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _pairs_of(limits: Limits, table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
     number, node, component, n, part, i, j = (table[c].to_numpy() for c in ("number", "node", "component", "n", "part", "i", "j"))
     symbols = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
     fine = np.frombuffer(b"".join(table["fine"].to_pylist()), np.uint64).reshape(-1, FINE // 64)
@@ -222,13 +263,13 @@ def _pairs_of(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         left = np.flatnonzero(part[lo:hi] == i[lo]) + lo
         right = np.flatnonzero(part[lo:hi] == j[lo]) + lo
         for at in left:
-            to = right[(component[right] != component[at]) & (100 * n[right] >= PERCENT * n[at]) & (100 * n[at] >= PERCENT * n[right])]
+            to = right[(component[right] != component[at]) & limits.sizes(n[right], n[at])]
             if i[lo] == j[lo]:
                 to = to[node[to] > node[at]]
             if len(to):
                 differ = symbols[to] != symbols[at]
-                near = np.flatnonzero(differ.sum(axis=1) <= RADIUS)
-                near = near[np.bitwise_count(fine[to[near]] ^ fine[at]).sum(axis=1, dtype=np.int64) <= FINE_RADIUS]
+                near = np.flatnonzero(differ.sum(axis=1) <= limits.radius)
+                near = near[np.bitwise_count(fine[to[near]] ^ fine[at]).sum(axis=1, dtype=np.int64) <= limits.fine_radius]
                 near = near[first_key(differ[near]) == number[at]]
                 if len(near):
                     found_a.append(np.full(len(near), node[at]))
@@ -260,7 +301,7 @@ def texts_of(documents: DataFrame, classes: DataFrame, nodes: DataFrame) -> tupl
     return texts.select("text"), wanted.select("node", "class")
 
 
-def confirm(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirm(documents: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of nodes whose full shingle sets reach the similarity."""
     ends = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct())
     texts, wanted = texts_of(documents, classes, ends)
@@ -271,7 +312,7 @@ def confirm(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataF
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b")).cast("bigint")
     return both.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).cast("bigint").alias("total")).where(
-        f"100 * common >= {PERCENT} * (total - common)"
+        f"100 * common >= {percent} * (total - common)"
     ).select("a", "b")
 
 
@@ -292,8 +333,9 @@ def sketches_of(documents: DataFrame, classes: DataFrame, nodes: DataFrame) -> D
     return checkpointed(classes.select("node", "n", "signature").join(fine, "node"))
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of documents (doc_id, text)."""
+def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of documents (doc_id, text); sets are linked from percent on."""
+    limits = limits_at(percent)
     documents = documents.select("doc_id", "text")
     rows = checkpointed(documents.mapInArrow(_sign, "doc_id bigint, n_shingles bigint, class binary, signature binary"))
     classes = rows.where("n_shingles > 0").groupBy("class").agg(
@@ -309,13 +351,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     ends = shared.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     star = shared.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("to")).where("node <> to").distinct()
     star = star.join(info, "node").join(info.toDF("to", "n_to", "signature_to"), "to")
-    star = star.where(f"100 * n >= {PERCENT} * n_to and 100 * n_to >= {PERCENT} * n").select(
+    star = star.where(limits.sizes(F.col("n"), F.col("n_to"))).select(
         "node", "to", symbol_distance("signature", "signature_to").alias("distance")
-    ).where(F.col("distance") <= RADIUS)
+    ).where(F.col("distance") <= limits.radius)
     best = star.groupBy("node").agg(F.min("to").alias("x"), F.max("to").alias("y"), F.min_by("to", F.struct("distance", "to")).alias("z"))
     best = best.select("node", F.explode(F.array("x", "y", "z")).alias("to"))
     pairs = checkpointed(best.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct())
-    links = checkpointed(confirm(documents, classes, pairs))
+    links = checkpointed(confirm(documents, classes, pairs, percent))
     labels = checkpointed(connected(links))
 
     # What is still apart within a key: first the nearest ones in blocks, then all pairs of different components that are left.
@@ -325,10 +367,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         apart = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
         rest = checkpointed(labelled.join(apart, "key"))
         sketches = sketches or sketches_of(documents, classes, rest.select("node"))  # later rows are some of the first
-        more = checkpointed(in_blocks(rest, sketches).mapInArrow(_blocks(find), "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti"))
+        more = checkpointed(in_blocks(rest, sketches).mapInArrow(_blocks(partial(find, limits)), "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             pairs = checkpointed(pairs.union(more))
-            links = checkpointed(links.union(confirm(documents, classes, more)))
+            links = checkpointed(links.union(confirm(documents, classes, more, percent)))
             labels = checkpointed(connected(links))
 
     found = classes.select("class", "node", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -339,9 +381,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def drop_near_duplicates(documents: DataFrame) -> DataFrame:
+def drop_near_duplicates(documents: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """documents with one row left of each group: the one with the smallest doc_id, once."""
-    ids = checkpointed(near_duplicates(documents).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times")))
+    ids = checkpointed(near_duplicates(documents, percent).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times")))
     kept = semi_by_size(documents, ids.where("not kept"), "doc_id", "left_anti")
     repeated = ids.where("kept and times > 1")
     if repeated.isEmpty():
