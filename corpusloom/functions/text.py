@@ -83,6 +83,17 @@ def search_tokens(text) -> Column:
     return F.filter(tokens, lambda x: x != "")
 
 
+def longest_inner_token(phrase) -> Column:
+    """The longest search token that any text which holds phrase has too, or null: one between two breaks inside of phrase.
+
+    What stands at an end of phrase may be part of a longer token there, and the lower case of a sigma depends on what follows.
+    """
+    pieces = F.split(F.lower(phrase), TOKEN_BREAK, -1)
+    inner = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda x: F.btrim(x, F.lit("_")))
+    whole = F.filter(inner, lambda x: (x != "") & ~x.rlike("[σς]"))
+    return F.array_max(F.transform(whole, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+
+
 def verse_tokens(text) -> Column:
     """Tokens between punctuation, case kept."""
     return F.filter(F.split(text, VERSE_BREAK, -1), lambda x: x != "")

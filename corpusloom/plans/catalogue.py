@@ -453,9 +453,13 @@ _EXPECTED = "expected AS (SELECT item_id AS query_id, doc_id AS record_id FROM b
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("head"))
-    terms = queries.select("query_id", "head", F.element_at(F.sort_array(F.transform(tx.search_tokens(F.col("head")), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))), -1)["t"].alias("term"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), "text", F.explode(F.array_distinct(tx.search_tokens(F.col("text")))).alias("term"))
-    expected = docs.join(terms, "term").where(F.contains("text", F.col("head"))).select("query_id", "record_id")
+    terms = queries.select("query_id", "head", tx.longest_inner_token(F.col("head")).alias("term"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), "text")
+    by_term = docs.withColumn("term", F.explode(F.array_distinct(tx.search_tokens(F.col("text")))))
+    expected = by_term.join(terms.where("term is not null"), "term").where(F.contains("text", F.col("head"))).select("query_id", "record_id")
+    # A head without a whole token inside says nothing of the tokens of texts that hold it: these few are asked of all texts.
+    others = terms.where("term is null and head is not null").select("query_id", "head")
+    expected = expected.unionByName(docs.join(others, F.contains("text", F.col("head"))).select("query_id", "record_id"))
     return evaluation.per_query(queries, _lexical(spark, sf_dir), expected)
 
 
