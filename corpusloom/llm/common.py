@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,12 @@ BROADCAST_BYTES = 32 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; choose one only where none is set (single-machine tests)."""
+    """Keep the cluster's shared checkpoint folder; choose one only on a single machine where none is set, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all nodes share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loom-checkpoint-"))
 
 
@@ -40,13 +43,21 @@ def free_name(base: str, *frames: DataFrame) -> str:
     return base
 
 
-def semi_by_size(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
-    """Semi or anti join of df with a key column (null-safe): broadcast only while the counted keys fit the bound."""
-    name = free_name("semi_key", df)
-    key = keys.select(F.col(on).alias(name))
-    if key.count() * 16 <= BROADCAST_BYTES:
-        key = F.broadcast(key)
-    return df.join(key, F.col(on).eqNullSafe(F.col(name)), how)
+def by_size(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, marked for a broadcast if its counted rows of such a size fit the bound."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def semi_by_size(df: DataFrame, keys: DataFrame, on: str | dict[str, F.Column], how: str = "left_semi") -> DataFrame:
+    """Semi or anti join (null-safe) of df with key columns: broadcast only while the counted keys fit the bound.
+
+    on: the column that both have, or for each column of keys the expression over df that it must equal.
+    """
+    on = {on: F.col(on)} if isinstance(on, str) else on
+    names = {k: free_name(f"semi_{k}", df).lower() for k in on}
+    key = keys.select(*[F.col(k).alias(n) for k, n in names.items()])
+    same = [value.eqNullSafe(F.col(names[k])) for k, value in on.items()]
+    return df.join(by_size(key, 32 * len(on)), reduce(lambda a, b: a & b, same), how)
 
 
 def word_array(text) -> F.Column:

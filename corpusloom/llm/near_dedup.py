@@ -3,18 +3,22 @@
 A document's set holds its distinct 5-word shingles as 64-bit hashes. Each set gets a signature of SYMBOLS b-bit MinHash
 symbols. Two signatures differing in at most RADIUS symbols agree, by pigeonhole, in some chunk of CHUNK symbols but for
 at most one symbol; enumerating that one allowed error gives CHUNK keys a chunk, and two rows meet in a key if and only if
-such a chunk exists. All pairs within RADIUS are thus found. At similarity 0.85 a symbol differs with probability 0.15, so
-a pair lies beyond 23 of 60 with a probability of about 2e-6. A lower similarity has a larger radius (28 of 60 at 0.80),
-again passed with at most LOST; between RADIUS and that one the keys are no longer certain, but a pair at 0.80 has no such
-chunk with a probability of about 1e-7 only. `limits_at` gives the radii of a similarity.
-
-Equal sets are one class before anything is joined, so that exact copies cost one row. Candidates are confirmed on full
-sets. A group of near copies is first linked to the extreme members of its key buckets; after that only pairs that are
-still in different components are compared, in blocks of bounded size, so neither pairs of a group nor a group itself is
-ever gathered in one place. Components come from large-star/small-star rounds with checkpoints in between.
+such a chunk exists. All pairs within RADIUS thus meet. At similarity 0.85 a symbol differs with probability 0.15, so
+a pair lies beyond 17 of 36 with a probability of about 9e-7. A lower similarity has a larger radius (`limits_at`), again
+passed with at most LOST; between RADIUS and that one the keys are no longer certain, but a pair at 0.80 has no such chunk
+with a probability of about 2e-7 only.
+
+Equal sets are one class before anything is joined, so that exact copies cost one row. Of the pairs that meet within the
+radius, those already in one component need no look, as they can't change the result; the others are held against a
+longer sketch of single bits, which a pair at the similarity passes but for a probability of FINE_LOST, and confirmed on
+full sets. A group of near copies is first linked to the extreme members of its key buckets; after that only pairs that
+are still in different components are compared, in blocks of bounded size, so neither pairs of a group nor a group itself
+is ever gathered in one place. Components come from spanning forests of bounded parts of the edges, with
+large-star/small-star rounds over what is left where one part does not hold it.
 
 Nulls and texts without words have an empty set and link with nothing. A null doc_id orders after all others. Repeated
-rows are rows of their own in one class. Only `doc_id` and `text` are read, so further columns can have any name.
+rows are rows of their own in one class. Only `doc_id` and `text` are read, so further columns can have any name. An empty
+table has no result rows.
 """
 
 from __future__ import annotations
@@ -25,25 +29,27 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from corpusloom.llm.common import BROADCAST_BYTES, SPACE_FREE, checkpointed, mix, semi_by_size, text_slices, word_hashes, word_spans
+from corpusloom.llm.common import BROADCAST_BYTES, SPACE_FREE, by_size, checkpointed, mix, semi_by_size, text_slices, word_hashes, word_spans
 
 WIDTH = 5
-CHUNKS, CHUNK = 12, 5
+CHUNKS, CHUNK = 9, 4
 SYMBOLS = CHUNKS * CHUNK
 RADIUS = 2 * CHUNKS - 1
 #: The similarity of op1's contract, and that of a stage that isn't told another.
 PERCENT, STAGE_PERCENT = 85, 80
 BLOCK = 2048
-#: Edges that a task of the component rounds reads at least, lest few edges be spread over very many files.
-EDGES_A_TASK = 50_000
+#: Edges of which one task makes a spanning forest: 8 MB.
+EDGES_A_TASK = 1 << 19
 #: A second, longer sketch of single bits, for pairs within the radius only: a bit differs with half the probability of a symbol.
-FINE = 2048
+FINE = 1024
+#: Products of a set's members and hash functions that are held at once: 2 MB.
+PRODUCTS = 1 << 18
+#: Most bytes of shingle sets that are broadcast to the pairs.
+SET_BYTES = BROADCAST_BYTES // 2
 #: Most probability with which a pair at the similarity may lie beyond the radius (or have no key), and beyond the fine radius.
 LOST, FINE_LOST = 2.5e-6, 7e-8
 
@@ -119,8 +125,9 @@ def minima(values: np.ndarray, which: slice) -> np.ndarray:
     """Mixed minima of some of the hash functions over a set."""
     scale, shift = _A[which, None], _B[which, None]
     low = np.full(len(scale), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(values), 2048):
-        part = values[None, at : at + 2048] * scale
+    step = max(1, PRODUCTS // len(scale))
+    for at in range(0, len(values), step):
+        part = values[None, at : at + step] * scale
         part += shift
         np.minimum(low, part.min(axis=1), out=low)
     return mix(low)
@@ -167,12 +174,14 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(sketches, pa.binary())], ["class", "fine"])
 
 
-@F.pandas_udf(T.IntegerType())
-def symbol_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Number of symbols in which two signatures differ."""
-    x = np.frombuffer(b"".join(a), np.uint16).reshape(-1, SYMBOLS)
-    y = np.frombuffer(b"".join(b), np.uint16).reshape(-1, SYMBOLS)
-    return pd.Series((x != y).sum(axis=1).astype(np.int32))
+def _near(limits: Limits, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (node, to, n, n_to, signature, signature_to) those that can reach the similarity, with their distance in symbols."""
+    for batch in batches:
+        n, n_to = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        differ = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint16) != np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint16)
+        distance = differ.reshape(-1, SYMBOLS).sum(axis=1)
+        near = pa.array(limits.sizes(n, n_to) & (distance <= limits.radius))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance.astype(np.int32))], ["node", "to", "distance"]).filter(near)
 
 
 def chunk_keys(signature_column) -> F.Column:
@@ -187,15 +196,54 @@ def chunk_keys(signature_column) -> F.Column:
     return F.array(*keys)
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, component) of the ends of edges (a, b): large-star and small-star rounds until nothing changes."""
-    edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    rows = edges.count()
-    if not rows:
-        return edges.toDF("node", "component")
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) of all ends of edges: roots are hooked to smaller ones until every edge lies within one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root, x, y = np.arange(len(nodes)), at[: len(a)], at[len(a) :]
+    while len(x):
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        while not np.array_equal(up := root[root], root):
+            root = up
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+    return nodes, nodes[root]
+
+
+def _forest(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) as (node, root) of forests of at most `most` edges at a time, merged while they fit."""
+    held, size = [np.zeros((2, 0), np.int64)], 0
+    for batch in batches:
+        held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
+        size += len(batch)
+        if size >= most:
+            held = [np.stack(forest(*np.concatenate(held, axis=1)))]
+            size = held[0].shape[1]
+            if size >= most:
+                yield _edges(held[0])
+                held, size = [np.zeros((2, 0), np.int64)], 0
+    yield _edges(np.stack(forest(*np.concatenate(held, axis=1))))
+
+
+def _edges(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+
+def connected(edges: DataFrame, edges_a_task: int = EDGES_A_TASK) -> DataFrame:
+    """(node, component) of the ends of edges (a, b), component being the smallest node.
+
+    Tasks make spanning forests of what they hold, so that at most one edge a node and task is left. Once all edges fit one
+    task its forest is the result; until then large-star and small-star rounds go over them.
+    """
+    made = partial(_forest, most=2 * edges_a_task)
+    edges = checkpointed(edges.select("a", "b").mapInArrow(made, "a bigint, b bigint"))
     while True:
-        edges = edges.coalesce(1 + rows // EDGES_A_TASK)
-        both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+        rows = edges.count()
+        if rows <= edges_a_task:
+            return edges.coalesce(1).mapInArrow(made, "node bigint, component bigint")
+        edges = edges.coalesce(1 + rows // edges_a_task).mapInArrow(made, "a bigint, b bigint").where("a <> b")
+        both = checkpointed(edges).select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
@@ -203,8 +251,7 @@ def connected(edges: DataFrame) -> DataFrame:
         edges = checkpointed(small.where("a <> b").distinct())
         rows, nodes = edges.agg(F.count("*"), F.count_distinct("a")).first()
         if rows == nodes and edges.join(edges.select(F.col("b").alias("top")), F.col("a") == F.col("top"), "left_semi").isEmpty():
-            break
-    return edges.select(F.explode(F.array("a", "b")).alias("node"), F.col("b").alias("component")).distinct()
+            return edges.select(F.explode(F.array("a", "b")).alias("node"), F.col("b").alias("component")).distinct()
 
 
 def _blocks(find):
@@ -307,7 +354,7 @@ def confirm(documents: DataFrame, classes: DataFrame, pairs: DataFrame, percent:
     texts, wanted = texts_of(documents, classes, ends)
     sets = texts.mapInArrow(_sets, "class binary, set array<bigint>").dropDuplicates(["class"])
     sets = checkpointed(sets.join(wanted, "class").select("node", "set"))
-    if (sets.agg(F.sum(64 + 8 * F.size("set"))).first()[0] or 0) <= BROADCAST_BYTES:
+    if (sets.agg(F.sum(64 + 8 * F.size("set"))).first()[0] or 0) <= SET_BYTES:
         sets = F.broadcast(sets)
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b")).cast("bigint")
@@ -333,27 +380,23 @@ def sketches_of(documents: DataFrame, classes: DataFrame, nodes: DataFrame) -> D
     return checkpointed(classes.select("node", "n", "signature").join(fine, "node"))
 
 
-def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of documents (doc_id, text); sets are linked from percent on."""
+def linked(rows: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+    """class, component (a node) and component_id of the classes of signed rows (doc_id, n_shingles, class, signature)."""
     limits = limits_at(percent)
-    documents = documents.select("doc_id", "text")
-    rows = checkpointed(documents.mapInArrow(_sign, "doc_id bigint, n_shingles bigint, class binary, signature binary"))
     classes = rows.where("n_shingles > 0").groupBy("class").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")
     )
     classes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
 
     keys = classes.select("node", F.posexplode(chunk_keys(F.col("signature"))).alias("number", "key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = checkpointed(keys.join(shared, "key").select("key", "number", "node", "members"))
+    tally = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("low"), F.max("node").alias("high"))
+    met = checkpointed(keys.join(tally.where("members > 1"), "key"))
+    shared = met.select("key", "number", "node", "members")
 
     info = classes.select("node", "n", "signature")
-    ends = shared.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    star = shared.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("to")).where("node <> to").distinct()
-    star = star.join(info, "node").join(info.toDF("to", "n_to", "signature_to"), "to")
-    star = star.where(limits.sizes(F.col("n"), F.col("n_to"))).select(
-        "node", "to", symbol_distance("signature", "signature_to").alias("distance")
-    ).where(F.col("distance") <= limits.radius)
+    star = met.select("node", F.explode(F.array("low", "high")).alias("to")).where("node <> to").distinct()
+    star = star.join(info, "node").join(info.toDF("to", "n_to", "signature_to"), "to").select("node", "to", "n", "n_to", "signature", "signature_to")
+    star = star.mapInArrow(partial(_near, limits), "node bigint, to bigint, distance int")
     best = star.groupBy("node").agg(F.min("to").alias("x"), F.max("to").alias("y"), F.min_by("to", F.struct("distance", "to")).alias("z"))
     best = best.select("node", F.explode(F.array("x", "y", "z")).alias("to"))
     pairs = checkpointed(best.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct())
@@ -375,18 +418,53 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     found = classes.select("class", "node", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = found.join(smallest, "component").select("class", "component_id")
-    result = rows.select("doc_id", "n_shingles", "class").join(named, "class", "left")
-    result = result.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
-    return result.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return found.join(smallest, "component").select("class", "component", "component_id")
+
+
+def signed(documents: DataFrame) -> DataFrame:
+    return checkpointed(documents.mapInArrow(_sign, "doc_id bigint, n_shingles bigint, class binary, signature binary"))
+
+
+def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of documents (doc_id, text); sets are linked from percent on."""
+    documents = documents.select("doc_id", "text")
+    rows = signed(documents)
+    named = checkpointed(linked(rows, documents, percent)).select("class", "component_id")
+    rows = rows.select("doc_id", "n_shingles", "class")
+    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    result = rows.where("n_shingles > 0").join(by_size(named, 48), "class").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in _sign(iter([batch.select([0, 1])])):
+            yield pa.RecordBatch.from_arrays([*part.columns, batch.column(2)], [*part.schema.names, "content"])
 
 
 def drop_near_duplicates(documents: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
-    """documents with one row left of each group: the one with the smallest doc_id, once."""
-    ids = checkpointed(near_duplicates(documents, percent).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times")))
-    kept = semi_by_size(documents, ids.where("not kept"), "doc_id", "left_anti")
-    repeated = ids.where("kept and times > 1")
+    """documents with one row left of each group of near duplicates.
+
+    The row that stays has the group's smallest doc_id (null after all others), then the smallest digest of its text, then the
+    smallest row as JSON. Rows with an empty set are in no group and all stay, as do unrelated texts under one doc_id or under none.
+    """
+    content = F.unhex(F.md5("text"))
+    rows = documents.select("doc_id", "text", content.alias("content")).mapInArrow(
+        _keyed, "doc_id bigint, n_shingles bigint, class binary, signature binary, content binary"
+    )
+    rows = checkpointed(rows)
+    named = checkpointed(linked(rows, documents.select("doc_id", "text"), percent)).select("class", "component")
+    texts = rows.where("n_shingles > 0").groupBy("class", "doc_id", "content").agg(F.count("*").alias("times"))
+    texts = checkpointed(texts.join(by_size(named, 48), "class").withColumn("first", F.struct(F.col("doc_id").isNull(), "doc_id", "content")))
+    first = texts.groupBy("component").agg(F.min("first").alias("first"))
+    first = checkpointed(first.select(F.col("component").alias("of"), F.col("first").alias("least")))
+    texts = texts.join(by_size(first, 96), F.col("component") == F.col("of"))
+    lost = texts.where("first <> least").select("doc_id", "content")
+    kept = semi_by_size(documents, lost, {"doc_id": F.col("doc_id"), "content": content}, "left_anti")
+    repeated = checkpointed(texts.where("first = least and times > 1").select("doc_id", "content"))
     if repeated.isEmpty():
         return kept
-    once = semi_by_size(kept, repeated, "doc_id").dropDuplicates(["doc_id"])
-    return semi_by_size(kept, repeated, "doc_id", "left_anti").unionByName(once)
+    key = {"doc_id": F.col("doc_id"), "content": content}
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in documents.columns])
+    once = semi_by_size(kept, repeated, key).groupBy(F.col("doc_id").alias("id"), content.alias("text_digest")).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return semi_by_size(kept, repeated, key, "left_anti").unionByName(once.select("row.*"))

@@ -99,10 +99,78 @@ def test_pairs_meet_within_the_radius():
         assert (differ.reshape(near_dedup.CHUNKS, -1).sum(axis=1) <= 1).any()
 
 
-def test_drop_near_duplicates_leaves_one_row(docs):
+def test_components_by_forests_and_by_rounds(spark):
+    rng = random.Random(11)
+    edges = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(2200)] + [(5000 + i, 5001 + i) for i in range(300)] + [(9000, 9001 + i) for i in range(400)] + [(7, 7)]
+    frame = spark.createDataFrame(edges, "a bigint, b bigint").repartition(7)
+    parent = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        parent[b] = a
+    for most in (50, 700, 1 << 19):
+        got = {r.node: r.component for r in near_dedup.connected(frame, most).collect()}
+        assert all(got.get(x, x) == top(x) for x in parent) and set(got) <= set(parent)
+    assert near_dedup.connected(frame.limit(0)).count() == 0
+
+
+def kept_rows(rows):
+    """Rows (doc_id, text, lang, source, n_chars) that stay: one of each group at 80 percent, and all with an empty set."""
+    sets = [shingle_set(r[1]) for r in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    first = {}
+    for g, r, s in zip(group, rows, sets, strict=True):
+        if s:
+            first.setdefault(g, []).append((r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).digest()))
+    empty = Counter((r[0], r[1]) for r, s in zip(rows, sets, strict=True) if not s)
+    ids = {d: r[1] for r in rows for d in [(r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).digest())]}
+    return empty + Counter((None if min(f)[0] else min(f)[1], ids[min(f)]) for f in first.values())
+
+
+def test_drop_near_duplicates_leaves_one_row(spark, docs):
+    expected = kept_rows(cases())
     kept = near_dedup.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [0, 5, 6, 7, 8, 9, 10, 11, 12]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == expected
+    other = made(21, 80)
+    rows = [(None, made(20, 80), "en", None, 1), (None, other, "de", "a", 2), (7, made(22, 80), None, "b", 3), (7, made(23, 80), "en", None, None), (7, made(23, 80), "en", "z", None), (None, other, "de", "a", 2), (7, None, None, None, None)]
+    got = [near_dedup.drop_near_duplicates(spark.createDataFrame(r, SCHEMA)).collect() for r in (rows, rows[::-1])]
+    assert Counter(got[0]) == Counter(got[1]) and Counter((r.doc_id, r.text) for r in got[0]) == kept_rows(rows)
+    assert near_dedup.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_no_pair_at_the_similarity_is_lost(spark):
+    """2000 planted pairs at the similarity or just above it, and 300 just below, each under words of its own."""
+    rng, rows, links = random.Random(5), [], set()
+    for k in range(2300):
+        words = [f"{k}w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 260))]
+        other, i = list(words), rng.randrange(3)
+        base = shingle_set(" ".join(words))
+        while True:
+            changed = [*other]
+            changed[i] = f"{k}x{i}"
+            own = shingle_set(" ".join(changed))
+            if 100 * len(base & own) < 85 * len(base | own) or i + 7 >= len(words):
+                break
+            other, i = changed, i + rng.randrange(1, 8)
+        if k >= 2000:
+            other = changed
+        own = shingle_set(" ".join(other))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        if 100 * len(base & own) >= 85 * len(base | own):
+            links.add(2 * k + 1)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    assert {r.doc_id for r in got.where("not kept").collect()} == links and len(links) >= 2000
 
 
 SECRETS = [

@@ -46,7 +46,7 @@ def test_the_stage_drops_pairs_of_the_table_between_80_and_85_percent(spark):
 
 
 def test_radii_follow_the_similarity():
-    assert near_dedup.limits_at(85) == near_dedup.Limits(85, near_dedup.RADIUS, 220)
+    assert near_dedup.limits_at(85) == near_dedup.Limits(85, near_dedup.RADIUS, 125)
     stage = near_dedup.limits_at(near_dedup.STAGE_PERCENT)
     rng = np.random.default_rng(7)
     assert (rng.binomial(near_dedup.SYMBOLS, 0.2, 400_000) > stage.radius).sum() <= 8
