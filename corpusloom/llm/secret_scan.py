@@ -1,15 +1,18 @@
 """Secret scans over an incremental blob ledger, in DataFrame operations only.
 
 Every version of every path is content-addressed: its blob is the SHA-256 of its text, so equal contents are one blob.
-The ledger says which (blob, rule version) pairs have been scanned. A scan takes one text of each blob (chosen while
-rows are still where they were read, so that a blob with very many paths moves once for each task), drops the rules that the ledger
-has for it, runs the others and returns the new ledger rows with the findings. Findings are joined back to all paths.
+The ledger has a row for each scan of a blob: the rule versions that were run and all that they found. `extended` takes one
+text of each blob (chosen while rows are still where they were read, so that a blob with very many paths moves once for
+each task), runs only the rules that the ledger lacks for it and returns the ledger with the new rows, which the next
+increment is given. Findings of all scans, old and new, are joined back to all paths.
 
 A rule is a pattern with a least length for one of its groups: matches are taken leftmost and without overlap, and those
 whose group is too short are dropped without another try. Spans count code points, end exclusive. Positions come from
 running sums of the pieces between matches, so a text with any number of matches stays linear.
 
-A null text is empty. Repeated rows are paths with one blob. Columns other than the path and the text are not read.
+A null text is empty. Repeated rows are paths with one blob. An empty table adds nothing to the ledger and has no result
+rows. Findings of rule versions that are no longer asked for stay in the ledger and out of the result. Columns other than
+the path and the text are not read.
 """
 
 from __future__ import annotations
@@ -67,38 +70,44 @@ def _lengths(rule: Rule) -> F.Column:
     return F.when(text.rlike(rule.pattern), sizes).otherwise(F.array().cast("array<struct<piece:int,size:int,measured:int>>"))
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """New ledger rows (blob, rule) and findings (blob, kind, start, end) of versions' texts that the ledger lacks.
+LEDGER = "blob string, rules array<string>, findings array<struct<rule: string, start: bigint, end: bigint>>"
 
-    ledger: (blob, rule), as earlier calls returned it, or None at the first scan.
-    """
+
+def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """New ledger rows (blob, rules, findings) of versions' texts: only what the ledger lacks is run."""
     texts = versions.select(blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
     blobs = texts.groupBy("blob").agg(F.first("text").alias("text"))
+    keys = F.array(*[F.lit(r.key) for r in rules])
     if ledger is None:
-        blobs = blobs.withColumn("seen", F.array().cast("array<string>"))
+        blobs = blobs.withColumn("rules", keys)
     else:
-        seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        blobs = blobs.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
-        blobs = blobs.where(F.size(F.array_except(F.array(*[F.lit(r.key) for r in rules]), "seen")) > 0)
+        seen = ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+        blobs = blobs.join(seen, "blob", "left").withColumn("rules", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))))
+        blobs = blobs.where(F.size("rules") > 0)
     empty = F.array().cast("array<struct<piece:int,size:int,measured:int>>")
-    found = [
-        F.struct(
-            F.lit(n).alias("kind_no"),
-            F.when(F.array_contains("seen", r.key), empty).otherwise(_lengths(r)).alias("parts"),
-        )
-        for n, r in enumerate(rules)
-    ]
-    rows = blobs.select("blob", F.explode(F.filter(F.array(*found), lambda x: F.size(x["parts"]) > 0)).alias("f"))
-    rows = rows.select("blob", "f.kind_no", F.posexplode("f.parts").alias("at", "part")).select("blob", "kind_no", "at", "part.*")
-    order = Window.partitionBy("blob", "kind_no").orderBy("at")
-    end = F.sum(F.col("piece") + F.coalesce("size", F.lit(0))).over(order)
-    rows = rows.withColumn("end", end).where("size is not null")
-    kinds, least = F.array(*[F.lit(r.kind) for r in rules]), F.array(*[F.lit(r.least) for r in rules])
-    findings = rows.where(F.col("measured") >= least[F.col("kind_no")]).select(
-        "blob", "kind_no", kinds[F.col("kind_no")].alias("kind"), (F.col("end") - F.col("size")).alias("start"), "end"
-    )
-    fresh = blobs.select("blob", F.explode(F.array_except(F.array(*[F.lit(r.key) for r in rules]), "seen")).alias("rule"))
-    return fresh, findings
+    found = [F.struct(F.lit(n).alias("no"), F.when(F.array_contains("rules", r.key), _lengths(r)).otherwise(empty).alias("parts")) for n, r in enumerate(rules)]
+    # One row for each piece between matches, and one for a blob without any match, so that each blob comes out.
+    rows = blobs.select("blob", "rules", F.explode_outer(F.filter(F.array(*found), lambda x: F.size(x["parts"]) > 0)).alias("f"))
+    rows = rows.select("blob", "rules", F.col("f.no").alias("no"), F.posexplode_outer("f.parts").alias("at", "part")).select("blob", "rules", "no", "at", "part.*")
+    order = Window.partitionBy("blob", "no").orderBy("at")
+    rows = rows.withColumn("end", F.sum(F.col("piece").cast("bigint") + F.coalesce("size", F.lit(0))).over(order))
+    least = F.array(*[F.lit(r.least) for r in rules])
+    long_enough = F.col("size").isNotNull() & (F.col("measured") >= F.get(least, F.col("no")))
+    finding = F.struct(F.get(keys, F.col("no")).alias("rule"), (F.col("end") - F.col("size")).alias("start"), F.col("end"))
+    return rows.groupBy("blob").agg(F.first("rules").alias("rules"), F.collect_list(F.when(long_enough, finding)).alias("findings"))
+
+
+def extended(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger with what it lacked of versions' texts; with None, the first ledger."""
+    fresh = checkpointed(scan(versions, ledger, rules))
+    return fresh if ledger is None else ledger.unionByName(fresh)
+
+
+def findings_of(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob, kind_no, kind, start, end of all that the ledger holds for the rules."""
+    rule = F.create_map(*[x for n, r in enumerate(rules) for x in (F.lit(r.key), F.struct(F.lit(n).alias("no"), F.lit(r.kind).alias("kind")))])
+    rows = ledger.where(F.size("findings") > 0).select("blob", F.inline("findings")).withColumn("of", rule[F.col("rule")]).where("of is not null")
+    return rows.select("blob", F.col("of.no").alias("kind_no"), F.col("of.kind").alias("kind"), "start", "end").distinct()
 
 
 def listed(findings: DataFrame, base: tuple[str, ...] = BASE) -> DataFrame:
@@ -114,21 +123,25 @@ def listed(findings: DataFrame, base: tuple[str, ...] = BASE) -> DataFrame:
     )
 
 
-def secrets(documents: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row of documents (doc_id, text)."""
-    _, findings = scan(documents.select("text"), ledger)
+def joined(documents: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row of documents (doc_id, text), read from the ledger."""
     paths = documents.select("doc_id", blob_of(F.col("text")).alias("blob"))
-    by_blob = checkpointed(listed(findings))
+    by_blob = checkpointed(listed(findings_of(ledger, rules)))
     if (by_blob.agg(F.sum(256 + F.length("spans"))).first()[0] or 0) <= BROADCAST_BYTES:
-        by_blob = F.broadcast(by_blob)  # else a blob with very many paths would meet them in one task
+        by_blob = F.broadcast(by_blob)  # else a blob with very many paths would meet them in one task, unless Spark splits it
     out = paths.join(by_blob, "blob", "left")
     none = {f"n_{k}": F.coalesce(f"n_{k}", F.lit(0).cast("bigint")) for k in BASE}
     return out.withColumns(none | {"base_sha256": F.coalesce("base_sha256", F.sha2(F.lit(""), 256)), "spans": F.coalesce("spans", F.lit(""))}).drop("blob")
 
 
-def redacted(documents: DataFrame, mark: str = "[secret]") -> DataFrame:
+def secrets(documents: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """`joined` of documents after the ledger is extended by them: the same result with any earlier ledger."""
+    return joined(documents, extended(documents.select("text"), ledger, rules), rules)
+
+
+def redacted(documents: DataFrame, mark: str = "[secret]", ledger: DataFrame | None = None) -> DataFrame:
     """documents with every finding replaced by mark; overlapping findings by one. n_chars, if there, follows."""
-    _, findings = scan(documents.select("text"))
+    findings = findings_of(extended(documents.select("text"), ledger))
     order = Window.partitionBy("blob").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = findings.withColumn("run", (F.col("start") > F.coalesce(before, F.lit(-1))).cast("int"))
