@@ -8,9 +8,12 @@ sequence and the last that passed is taken, which needs no correction within a s
 complement divided by the number of strata that have labels (Bonferroni). With that confidence no stratum's rule rejects more than RISK of good documents;
 a stratum with too few labels gets no cutoff and loses only what fails the base rules.
 
+Trials must be independent: a text counts once in its stratum, however many labelled copies of it there are.
+
 A null text has no words and fails the base rules. Rows with a null stratum are a stratum. A null label counts for
-nothing; of repeated labels of a document the best counts. Repeated rows are judged one by one. Only doc_id, text and
-the stratum are read.
+nothing; of repeated labels of a document the best counts. Repeated rows are judged one by one, also those that share a
+doc_id or have none. An empty table has no result rows; without labels there are no cutoffs. Only doc_id, text and the
+stratum are read.
 """
 
 from __future__ import annotations
@@ -32,8 +35,13 @@ def _count(chars: str) -> F.Column:
     return (F.length("text") - F.length(F.translate(F.col("text"), chars, ""))).cast("bigint")
 
 
+def digest(text) -> F.Column:
+    """16 bytes that name a text; null as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def features(documents: DataFrame, stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score."""
+    """doc_id, stratum, content (digest of the text), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score."""
     rows = documents.select("doc_id", F.col(stratum).alias("stratum"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("words", word_array(F.col("text")))
     rows = rows.withColumn("lines", F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
@@ -42,13 +50,13 @@ def features(documents: DataFrame, stratum: str = "lang") -> DataFrame:
     windows = F.slice(F.transform(triples, lambda x: F.xxhash64(x["a"], x["b"], x["c"])), 1, F.size("words") - 2)
     rows = rows.withColumn("windows", F.when(many, windows).otherwise(F.array().cast("array<bigint>")))
     # Windows sorted by hash with their places: equal neighbours are found twice or more. The hash stands for the three words.
-    placed = F.array_sort(F.transform("windows", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    placed = F.sort_array(F.transform("windows", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     rows = rows.withColumn("placed", F.when(F.size("windows") > F.size(F.array_distinct("windows")), placed))
     next_to = F.arrays_zip(F.col("placed").alias("a"), F.slice("placed", 2, F.greatest(F.size("placed"), F.lit(1))).alias("b"))
     equal = F.filter(next_to, lambda x: x["a"]["h"] == x["b"]["h"])
     covered = F.flatten(F.transform(equal, lambda x: F.array(*[x[s]["i"] + k for s in "ab" for k in range(3)])))
     counts = rows.select(
-        "doc_id", "stratum",
+        "doc_id", "stratum", digest(F.col("text")).alias("content"),
         F.size("words").cast("bigint").alias("n_words"),
         F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("bigint").alias("word_chars"),
         _count("#*$%&|<>").alias("n_symbols"),
@@ -81,9 +89,12 @@ def log_binomial_tail(n, k, rate: float) -> F.Column:
 
 
 def cutoffs(scored: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
-    """stratum, cutoff of those strata in which a cutoff is proven to reject at most `risk` of good documents."""
+    """stratum, cutoff of those strata in which a cutoff is proven to reject at most `risk` of good documents.
+
+    scored: doc_id, stratum, content, score; rows of equal content in a stratum are one trial.
+    """
     good = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
-    held = scored.join(good, "doc_id").select("stratum", "score")
+    held = scored.join(good, "doc_id").select("stratum", "content", "score").distinct()
     counts = held.groupBy("stratum").agg(
         F.count("*").alias("n"),
         F.array(*[F.struct(F.lit(c).alias("cutoff"), F.count_if(F.col("score") >= c).alias("k")) for c in CUTOFFS]).alias("tests"),
@@ -96,19 +107,25 @@ def cutoffs(scored: DataFrame, labels: DataFrame, risk: float = RISK, confidence
     return tests.where("failed is null or cutoff > failed").groupBy("stratum").agg(F.min("cutoff").alias("cutoff"))
 
 
-def quality_verdicts(documents: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
-    """doc_id, the counts, base_failed, score, cutoff and kept of every row of documents."""
+def judged_rows(documents: DataFrame, labels: DataFrame, stratum: str, risk: float, confidence: float) -> DataFrame:
+    """features of every row of documents with base_failed, cutoff and kept."""
     scored = checkpointed(features(documents, stratum))
     limits = cutoffs(scored, labels, risk, confidence).withColumnRenamed("stratum", "of")
     rows = scored.join(limits, scored["stratum"].eqNullSafe(limits["of"]), "left")
     failed = F.expr(f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > 50 * n_words")
     cutoff = F.coalesce(F.col("cutoff"), F.lit(NO_CUTOFF)).cast("bigint")
-    return rows.withColumns({"base_failed": failed, "kept": ~(failed | (F.col("score") >= cutoff)), "cutoff": cutoff}).select(
+    return rows.withColumns({"base_failed": failed, "kept": ~(failed | (F.col("score") >= cutoff)), "cutoff": cutoff})
+
+
+def quality_verdicts(documents: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
+    """doc_id, the counts, base_failed, score, cutoff and kept of every row of documents."""
+    return judged_rows(documents, labels, stratum, risk, confidence).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "cutoff"
     )
 
 
-def good_documents(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """documents without those rejected; a doc_id with several rows stays if one of them does."""
-    verdicts = quality_verdicts(documents, labels, **options).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    return semi_by_size(documents, checkpointed(verdicts.where("not kept").select("doc_id")), "doc_id", "left_anti")
+def good_documents(documents: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
+    """documents without the rows that are rejected, each judged by its own text and stratum."""
+    scored = checkpointed(judged_rows(documents, labels, stratum, risk, confidence).where("not kept").select("doc_id", "content", "stratum").distinct())
+    key = {"doc_id": F.col("doc_id"), "content": digest(F.col("text")), "stratum": F.col(stratum)}
+    return semi_by_size(documents, scored, key, "left_anti")
