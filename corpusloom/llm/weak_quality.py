@@ -6,10 +6,12 @@ labeller's vote probabilities given the class, votes being independent within a
 labellers being better than chance a priori. The first round takes documents without a bad vote for good.
 
 The posterior of its pattern is a document's soft label. A logistic scorer on hashed features (words, word shapes) is
-fitted to the soft labels of a sample of at most about SAMPLE documents, drawn by a hash of the doc_id; all documents are scored with it. The fitted weights have a fixed size and are all that is broadcast.
+fitted to the soft labels of a sample of at most SAMPLE documents, those that come first by a hash of doc_id and text, so
+that reruns agree; equal rows tie and any of them may be the last of the sample. All documents are scored. The
+fitted weights have a fixed size and are all that is broadcast, with the posteriors of the patterns.
 
-Null and empty texts get the score 0 and aren't kept. A null doc_id can't be in the sample but is scored. Repeated rows get equal results.
-Only doc_id and text are read. An empty table has no result rows.
+Null and empty texts get the score 0 and aren't kept. A null doc_id is a value like others. Repeated rows get equal
+results. Only doc_id and text are read. An empty table has no result rows.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ SAMPLE = 4000
 DIM = 1 << 12
 THRESHOLD = 0.3
 ABSTAIN, BAD, GOOD = 0, 1, 2
-#: Prior of a vote (abstain, bad, good) given the class (bad, good), as heavy as all documents: labellers are better than chance.
-BELIEF = np.array([[0.5, 0.3, 0.2], [0.59, 0.01, 0.4]])
+#: Prior of a vote (abstain, bad, good) given the class (bad, good), as heavy as PRIOR documents whatever the corpus: it only
+#: says which of the two classes is the bad one, and keeps what no document shows above 0.
+BELIEF, PRIOR = np.array([[0.5, 0.3, 0.2], [0.59, 0.01, 0.4]]), 10.0
 
 #: Frequent function words of the corpus's languages; fixed values
 FUNCTION_WORDS = "the of and to in a is that for it was on be with as by are this de la le et les des en un une que est du el los y las se por con der die und das den von zu ist mit sich im".split()
@@ -148,7 +151,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tup
     prior, table = 0.5, np.zeros((2, LABELLERS, 3))
     for _ in range(rounds):
         for c, weight in enumerate((1 - posterior, posterior)):
-            table[c] = np.einsum("p,plv->lv", counts * weight, one_hot) + max(counts.sum(), 1) * BELIEF[c]
+            table[c] = np.einsum("p,plv->lv", counts * weight, one_hot) + PRIOR * BELIEF[c]
             table[c] /= table[c].sum(axis=1, keepdims=True)
         prior = float(np.clip((counts * posterior).sum() / max(counts.sum(), 1), 0.01, 0.99))
         logs = np.einsum("plv,clv->pc", one_hot, np.log(table)) + np.log([1 - prior, prior])
@@ -182,8 +185,11 @@ def quality_scores(documents: DataFrame, sample: int = SAMPLE, threshold: float
 
     total = int(counted["count"].sum())
     part = min(1.0, sample / max(total, 1))
-    drawn = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(part * 1_000_003) + 1).where("doc_id is not null")
-    rows = drawn.mapInArrow(_labelled_vectors(by_pattern), "soft double, vector binary").limit(2 * sample).toPandas()
+    place = F.xxhash64("doc_id", "text")
+    drawn = documents.withColumn("place", place).where(F.pmod("place", F.lit(1_000_003)) <= int(2 * part * 1_000_003))
+    drawn = drawn.orderBy("place", F.col("doc_id").asc_nulls_last(), "text").limit(sample).select("doc_id", "text")
+    rows = drawn.mapInArrow(_labelled_vectors(by_pattern), "soft double, vector binary").toPandas()
+    rows = rows.sort_values(["soft", "vector"], kind="stable")  # one order of sums, whatever the order of arrival
     vectors = np.frombuffer(b"".join(rows["vector"]), np.float32).reshape(-1, DIM)
     weights, bias = fit(vectors, rows["soft"].to_numpy())
 
