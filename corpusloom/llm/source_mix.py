@@ -5,8 +5,8 @@ reshared by weight. A source takes complete epochs of all its documents first. W
 every document draws an exponential key scaled by its quality weight, documents are sorted by key within their source,
 and sizes are prefix-summed to the budget; a document is taken when more than half of it lies within the budget.
 
-The prefix sum of a source never runs in one task: keys fall into SLICES slices of equal probability, slices are summed
-before anything is ordered, and only in the one slice of each source that holds the budget are documents ordered one by
+The prefix sum of a source never runs in one task: keys fall into SLICES slices, none of which any weight gives more
+than 1 / LEAST_WEIGHT times its even share, slices are summed before anything is ordered, and only in the one slice of each source that holds the budget are documents ordered one by
 one. Keys come from a hash of the doc_id and a seed, so reruns agree.
 
 A null text has size 0 and takes nothing. A null source is a source of its own and the last. Repeated rows are documents
@@ -24,6 +24,7 @@ from corpusloom.llm.common import BROADCAST_BYTES, checkpointed, free_name, word
 WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
 SLICES = 4096
+LEAST_WEIGHT = 0.25
 SEED = "mix"
 
 
@@ -31,7 +32,7 @@ def quality_weight(text) -> F.Column:
     """Sampling weight of a document, 0.25 to 1: the share of its characters that are not symbols or digits."""
     text = F.coalesce(text, F.lit(""))
     odd = F.length(text) - F.length(F.translate(text, "0123456789#*$%&|<>!", ""))
-    return F.greatest(F.lit(0.25), 1 - odd / F.greatest(F.length(text), F.lit(1)))
+    return F.greatest(F.lit(LEAST_WEIGHT), 1 - odd / F.greatest(F.length(text), F.lit(1)))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
@@ -65,8 +66,8 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 13), 16, 10)
     uniform = (draw.cast("bigint") + 1) / F.lit(float(2**52 + 1))
     sizes = documents.select("doc_id", "source", F.size(word_array(F.col("text"))).cast("bigint").alias("size"), (-F.log(uniform) / quality_weight(F.col("text"))).alias("key"))
-    # A key's slice: equal chances for weight 1; smaller weights move to later slices.
-    sizes = checkpointed(sizes.withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * slices).cast("int")))
+    # A key's slice: equal chances for the least weight; a larger weight w has w / LEAST_WEIGHT times the mean in the first slices.
+    sizes = checkpointed(sizes.withColumn("slice", F.floor((1 - F.exp(-F.col("key") * LEAST_WEIGHT)) * slices).cast("int")))
     goals = targets(sizes, weights, most)
     goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("bigint"))
     goals = goals.withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size"))
