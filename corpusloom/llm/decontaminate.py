@@ -4,8 +4,10 @@ Documents are dealt into shards of bounded bytes where they are read, so nothing
 index is the benchmark's vocabulary: any other word is a 0 that no phrase can run through. Every phrase is searched from its last word by
 wavelet-tree ranks; its occurrences are located from sampled suffix positions and merged into spans of hit words.
 
-The benchmark is the query set: it is read in blocks of bounded bytes, each broadcast in turn, and a later block's pass
-carries the spans that earlier ones found.
+The benchmark is the query set: it is read in blocks of bounded bytes, and a later block's pass carries the spans that
+earlier ones found. A block is broadcast as arrays of some 50 bytes a benchmark word. Past AT_ONCE blocks, what was found
+so far is checkpointed and their broadcasts go before the next is built: cost grows with documents times blocks, and what the
+driver and a worker hold does not.
 
 Words are lower-cased (A-Z) and consist of letters, digits and all characters beyond ASCII. A phrase is any `window`
 consecutive words of an item, or all of an item that has fewer. Null and empty texts have no words. A null item_id counts
@@ -26,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import LOWER, free_name, text_slices
+from corpusloom.llm.common import LOWER, checkpointed, free_name, text_slices
 from corpusloom.llm.fm_index import FMIndex
 
 WINDOW = 10
 SHARD_BYTES = 6 << 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, AT_ONCE = 4 << 20, 2
 
 _TABLE = bytearray(LOWER.tobytes())
 for _byte in [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]:
@@ -46,19 +48,28 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Phrases:
-    """A block of the benchmark: its vocabulary, its distinct phrases by length, and the items of each phrase."""
+    """A block of the benchmark: its vocabulary, its distinct phrases by length, and the items of each phrase, all but the vocabulary as arrays."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.ids: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        self.items = sorted({item for item, _ in items})
+        number = {item: n for n, item in enumerate(self.items)}
+        by_size: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
         for item, text in items:
-            words = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)]
-            for i in range(max(1, len(words) - window + 1)) if words else ():
-                owners.setdefault(tuple(words[i : i + window]), set()).add(item)
+            words = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)], np.int32)
+            size = min(window, len(words))
+            if size:
+                own = np.lib.stride_tricks.sliding_window_view(words, size)
+                rows, owners = by_size.setdefault(size, ([], []))
+                rows.append(own)
+                owners.append(np.full(len(own), number[item], np.int32))
+        #: Of each length: distinct phrases, and of phrase p the items owners[starts[p] : starts[p + 1]].
         self.groups = []
-        for size in sorted({len(p) for p in owners}):
-            phrases = [p for p in owners if len(p) == size]
-            self.groups.append((size, np.array(phrases, np.int64), [sorted(owners[p]) for p in phrases]))
+        for size, (rows, owners) in sorted(by_size.items()):
+            phrases, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+            pairs = np.unique(which.ravel().astype(np.int64) * len(self.items) + np.concatenate(owners))
+            starts = np.searchsorted(pairs, np.arange(len(phrases) + 1, dtype=np.int64) * len(self.items))
+            self.groups.append((size, phrases.astype(np.int32), starts, (pairs % len(self.items)).astype(np.int32)))
 
     def find(self, texts: list[bytes]) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
         """Of each text: its number of words, merged spans of hit words, and the items found."""
@@ -75,8 +86,8 @@ class Phrases:
         keep[1:] = (tokens[1:] != 0) | (tokens[:-1] != 0)
         origin = np.flatnonzero(keep)
         index = FMIndex(tokens[origin], len(self.ids)) if len(self.ids) and tokens.any() else None
-        for size, phrases, owners in self.groups if index else ():
-            low, high = index.search(phrases)
+        for size, phrases, starts, owners in self.groups if index else ():
+            low, high = index.search(phrases.astype(np.int64))
             hit = np.flatnonzero(low < high)
             if not len(hit):
                 continue
@@ -87,8 +98,8 @@ class Phrases:
             start = word - bounds[document] - 1
             for d, s, p in zip(document.tolist(), start.tolist(), np.repeat(hit, times).tolist(), strict=True):
                 spans[d].append((s, s + size))
-                items[d].update(owners[p])
-        return counts.tolist(), [merged(s) for s in spans], items
+                items[d].update(owners[starts[p] : starts[p + 1]].tolist())
+        return counts.tolist(), [merged(s) for s in spans], [{self.items[n] for n in own} for own in items]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -123,8 +134,14 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     schema = T.StructType([*documents.schema.fields, T.StructField(found, kind)])
     out_type = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
     at = documents.columns.index("text")
+    live = []
     for number, block in enumerate(phrase_blocks(benchmark, window, block_bytes)):
+        if len(live) == AT_ONCE:
+            documents = checkpointed(documents)
+            while live:
+                live.pop().destroy()
         shared = spark.sparkContext.broadcast(block)
+        live.append(shared)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
             phrases = shared.value
