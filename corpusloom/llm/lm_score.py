@@ -60,7 +60,7 @@ def level_of(counts: np.ndarray) -> np.ndarray:
 
 def count_of(levels: np.ndarray) -> np.ndarray:
     """The count that a level stands for: the geometric middle of its range, 1 for level 1."""
-    return np.array([0.0, 1.0] + [2.0 ** (j - 0.5) for j in range(1, 64)])[levels]
+    return np.array([0.0, 1.0] + [2.0 ** (level - 0.5) for level in range(2, 65)])[levels]
 
 
 def _slots(keys: np.ndarray, level: int, probe: int, size: np.ndarray | int) -> np.ndarray:
