@@ -9,9 +9,11 @@ allowed urls, and neighbours whose shares do not differ significantly (two-propo
 purity is smoothed towards its parent's, the parent's towards its own parent's, up to the host and all hosts; a url
 without a rule is blocked when its deepest template's smoothed purity is below REJECT_BELOW.
 
-Counts are summed by template before anything is windowed, so a host with a third of all urls is as many rows as it has templates.
-Segments from LEVELS on form one last segment. A null url, or one without `://`, has an empty host and path, no rule, and
-is allowed unless its template's purity says otherwise. Repeated rows are judged one by one. Only page_id and url are read.
+Counts are summed by shape of path first; sums of a host and of a node's children are aggregates that join back, so that
+a host with a third of all urls, each with a segment of its own, is nowhere gathered. Siblings are ordered only after they were generalised, when
+a node has at most max(MANY, 1 / RARE) + 2 of them. Segments from `levels` on form one last segment. A null url, or one without
+`://`, has an empty host and path, no rule, and is allowed unless its template's purity says otherwise. Urls of any length are
+taken whole. Repeated rows are judged one by one; equal shares are ordered by segment. An empty table has no result rows. Only page_id and url are read.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import checkpointed
+from corpusloom.llm.common import by_size, checkpointed
 
 #: (verdict, host, path prefix); fixed values
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -49,7 +51,7 @@ def ruled(rows: DataFrame, rules=RULES) -> DataFrame:
     return rows.withColumns({"rule": rule, "ruled": verdict})
 
 
-def _merged(nodes: DataFrame, level: int) -> DataFrame:
+def _merged(nodes: DataFrame) -> DataFrame:
     """Nodes of one level with the purity of their group of similar siblings. nodes: parent key columns, urls, allowed, labelled, prior."""
     siblings = Window.partitionBy("host", "parent")
     smooth = (F.col("allowed") + SMOOTH * F.col("prior")) / (F.col("labelled") + SMOOTH)
@@ -69,15 +71,18 @@ def _merged(nodes: DataFrame, level: int) -> DataFrame:
 
 
 def template_tree(rows: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """host, shape, template, purity of every shape of path. rows: host, shape (array of segments), ruled."""
+    """host, shape, template, purity of every shape of path. rows: host, shape (array of segments), ruled.
+
+    levels: segments that are told apart; a tree of deeper paths needs a larger one, at the price of two joins a level.
+    """
     counted = rows.groupBy("host", "shape").agg(
         F.count("*").cast("double").alias("urls"), F.count_if(F.col("ruled") == "allow").cast("double").alias("allowed"), F.count("ruled").cast("double").alias("labelled")
     )
     counted = checkpointed(counted)
     every = counted.agg(F.sum("allowed").alias("a"), F.sum("labelled").alias("n")).first()
     overall = ((every.a or 0.0) + SMOOTH) / ((every.n or 0.0) + SMOOTH)
-    hosts = Window.partitionBy("host")
-    shapes = counted.withColumn("prior", (F.sum("allowed").over(hosts) + SMOOTH * F.lit(overall)) / (F.sum("labelled").over(hosts) + SMOOTH))
+    hosts = counted.groupBy("host").agg(((F.sum("allowed") + SMOOTH * F.lit(overall)) / (F.sum("labelled") + SMOOTH)).alias("prior"))
+    shapes = counted.join(by_size(hosts, 128), "host")
     shapes = shapes.withColumn("template", F.lit(""))
     for level in range(levels):
         segment = F.coalesce(F.get("shape", F.lit(level)), F.lit("")) if level < levels - 1 else F.array_join(F.slice("shape", levels, 1 << 30), "/")
@@ -85,14 +90,14 @@ def template_tree(rows: DataFrame, levels: int = LEVELS) -> DataFrame:
         nodes = shapes.groupBy("host", "parent", "segment").agg(
             *[F.sum(c).alias(c) for c in ("urls", "allowed", "labelled")], F.max("prior").alias("prior")
         )
-        siblings = Window.partitionBy("host", "parent")
-        rare = (F.count("*").over(siblings) > MANY) & (F.col("urls") < RARE * F.sum("urls").over(siblings)) & (F.col("segment") != "")
-        nodes = nodes.withColumn("general", F.when(rare, "*").otherwise(F.col("segment")))
+        parents = nodes.groupBy("host", "parent").agg(F.count("*").alias("kinds"), F.sum("urls").alias("all_urls"))
+        rare = (F.col("kinds") > MANY) & (F.col("urls") < RARE * F.col("all_urls")) & (F.col("segment") != "")
+        nodes = checkpointed(nodes.join(parents, ["host", "parent"]).withColumn("general", F.when(rare, "*").otherwise(F.col("segment"))).drop("kinds", "all_urls"))
         names = nodes.select("host", "parent", "segment", "general")
         nodes = nodes.groupBy("host", "parent", F.col("general").alias("segment")).agg(
             *[F.sum(c).alias(c) for c in ("urls", "allowed", "labelled")], F.max("prior").alias("prior")
         )
-        judged = _merged(nodes, level).select("host", "parent", F.col("segment").alias("general"), "purity")
+        judged = _merged(nodes).select("host", "parent", F.col("segment").alias("general"), "purity")
         shapes = shapes.drop("prior").join(names, ["host", "parent", "segment"]).join(judged, ["host", "parent", "general"])
         shapes = checkpointed(
             shapes.select("host", "shape", "urls", "allowed", "labelled", F.concat_ws("/", "parent", "general").alias("template"), F.col("purity").alias("prior"))
@@ -100,12 +105,12 @@ def template_tree(rows: DataFrame, levels: int = LEVELS) -> DataFrame:
     return shapes.select("host", "shape", F.rtrim("template", F.lit("/")).alias("template"), F.col("prior").alias("purity"))
 
 
-def judged(pages: DataFrame, rules=RULES) -> DataFrame:
+def judged(pages: DataFrame, rules=RULES, levels: int = LEVELS) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity of every row of pages (page_id, url)."""
     rows = ruled(parsed(pages), rules)
     trimmed = F.regexp_replace(F.regexp_replace("path", r"^/+", ""), "[0-9]+", "0")
     rows = rows.withColumn("shape", F.split(trimmed, "/", -1))
-    tree = template_tree(rows).select("host", "shape", "template", "purity")
+    tree = template_tree(rows, levels).select("host", "shape", "template", "purity")
     rows = rows.join(tree, ["host", "shape"], "left")
     by_method = F.when(F.col("purity") < REJECT_BELOW, "block").otherwise("allow")
     return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_method).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
