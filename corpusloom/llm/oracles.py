@@ -69,7 +69,7 @@ g AS (SELECT doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS x FROM (SELECT
 h AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM h, range(3) AS s(k) GROUP BY doc_id),
 c AS (
-  SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words,
+  SELECT doc_id, lang, t, CAST(len(w) AS BIGINT) AS n_words,
     length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS word_chars,
     length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines,
@@ -83,7 +83,7 @@ c AS (
     n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
   FROM c
 ), good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
-held AS (SELECT lang, score FROM f JOIN good USING (doc_id)),
+held AS (SELECT DISTINCT lang, t, score FROM f JOIN good USING (doc_id)),
 k AS (
   SELECT lang, cutoff, count(*) AS n, count(*) FILTER (score >= cutoff) AS k
   FROM held, unnest([900, 800, 700, 600, 500, 450, 400, 350, 300, 250, 220, 200, 180, 160, 140, 120, 100, 90, 80, 70, 60, 50, 40, 30, 20]) AS s(cutoff)
@@ -208,3 +208,54 @@ s0 AS (SELECT *, (sum(allowed) OVER w + 8 * (SELECT overall FROM e)) / (sum(labe
 SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN prior < 0.2 THEN 'block' ELSE 'allow' END) AS verdict, rtrim(template, '/') AS template, round(prior, 6) AS purity
 FROM v JOIN s4 ON v.host = s4.host AND v.shape = s4.shape
 """
+
+
+def _pii(no: int, kind: str, pattern: str) -> str:
+    return f"""
+  SELECT doc_id, t, {no} AS no, '{kind}' AS kind, unnest(regexp_extract_all(t, '{pattern}')) AS m,
+    unnest(regexp_split_to_array(t, '{pattern}')[:len(regexp_extract_all(t, '{pattern}'))]) AS p,
+    unnest(range(len(regexp_extract_all(t, '{pattern}')))) AS nth
+  FROM t"""
+
+
+_PII_KINDS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", 0.7, "mail email contact write reach", "example noreply"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR TRY_CAST(x AS HUGEINT) > 255)) = 0", 0.5, "ip address host server login", "version release section"),
+    ("card", r"[0-9]([\x20-]?[0-9])+", "length(d) BETWEEN 14 AND 19 AND luhn % 10 = 0", 0.5, "card credit visa mastercard karte carte tarjeta", None),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 10 AND 15", 0.5, "phone call tel mobile telefon", None),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", "length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND rest = 1", 0.6, "iban account konto compte cuenta bank", None),
+    ("ssn", "[0-9-]+", "regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND m[1:3] NOT IN ('000', '666') AND m[1:3] < '900' AND m[5:6] <> '00' AND m[8:11] <> '0000'", 0.4, "ssn social security insurance", None),
+)
+
+
+def _list(words: str | None) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in (words or "order invoice tracking serial part isbn version ticket").split()) + "]"
+
+
+OP9 = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+a AS ({" UNION ALL ".join(_pii(n, k[0], k[1]) for n, k in enumerate(_PII_KINDS))}),
+b AS (
+  SELECT doc_id, t, no, kind, m, regexp_replace(m, '[^0-9]', '', 'g') AS d,
+    CAST(sum(length(p) + length(m)) OVER (PARTITION BY doc_id, no ORDER BY nth) AS BIGINT) AS stop FROM a
+), c AS (
+  SELECT *, stop - length(m) AS start,
+    list_sum(list_transform(range(1, length(d) + 1), lambda i: CAST(d[length(d) + 1 - i] AS INT) * (2 - i % 2) - CASE WHEN i % 2 = 0 AND CAST(d[length(d) + 1 - i] AS INT) > 4 THEN 9 ELSE 0 END)) AS luhn,
+    CASE WHEN no = 4 THEN list_reduce(list_prepend(0, list_transform(string_split(array_to_string(list_transform(string_split(replace(m, ' ', '')[5:] || m[1:4], ''),
+      lambda x: CASE WHEN x >= 'A' THEN CAST(ascii(x) - 55 AS VARCHAR) ELSE x END), ''), ''), lambda x: CAST(x AS INT))), lambda x, y: (x * 10 + y) % 97) END AS rest,
+    regexp_extract_all(lower(t[greatest(stop - length(m) - 47, 1):stop - length(m)] || ' ' || t[stop + 1:stop + 48]), '[a-z]+') AS near
+  FROM b
+), e AS (
+  SELECT doc_id, no, kind, start, stop,
+    CASE no {" ".join(f"WHEN {n} THEN {k[3]} + CASE WHEN list_has_any(near, {_list(k[4])}) THEN 0.3 ELSE 0 END - CASE WHEN list_has_any(near, {_list(k[5])}) THEN 0.3 ELSE 0 END" for n, k in enumerate(_PII_KINDS))} END AS score
+  FROM c WHERE CASE no {" ".join(f"WHEN {n} THEN {k[2]}" for n, k in enumerate(_PII_KINDS))} END
+), f AS (
+  SELECT doc_id, count(*) FILTER (no = 0) AS n_email, count(*) FILTER (no = 1) AS n_ip, count(*) FILTER (no = 2) AS n_card, count(*) FILTER (no = 3) AS n_phone,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) FILTER (no < 4) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) AS spans,
+    string_agg(format('{{:.2f}}', CAST(score AS DOUBLE)), ',' ORDER BY start, no) AS scores
+  FROM e WHERE no < 4 OR score >= 0.6 GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+FROM documents LEFT JOIN f USING (doc_id)
+"""

@@ -1,12 +1,15 @@
 """PII: patterns propose spans, checksums confirm them, context words nearby adjust the score.
 
-Base kinds are taken as their patterns and checks say, whatever their score: e-mail addresses, IPv4 addresses, card
-numbers (Luhn) and international phone numbers. The method adds IBANs (mod 97) and bare numbers of nine digits in
-social-security form; each of these starts from a score of its own, gains by context words within WINDOW characters and is kept from KEEP on.
-Matches are leftmost and do not overlap within a kind; one that fails its check is dropped without another try. Spans
-count code points, end exclusive.
-
-A null text is empty. Repeated rows give repeated results. Only doc_id and text are read.
+Every kind starts from a score of its own. One of its context words within WINDOW characters on either side raises it by
+GAIN, one of its counter-words (an order or a part number looks like much else) lowers it by LOSS. Findings are kept
+from KEEP on. The agreed base kinds are e-mail addresses, IPv4 addresses, card numbers (Luhn) and international phone
+numbers: they are listed whatever their score, which only says how sure they are. The method adds IBANs (mod 97), which
+counter-words can take back, and numbers in social-security form, which need a context word. Matches are leftmost and do
+not overlap within a kind; one that fails its check is dropped without another try. Spans count code points, end
+exclusive; equal starts are listed by kind. Words of the context are runs of A-Z, case aside.
+
+A null text is empty. Repeated rows give repeated results. An empty table has no result rows. Texts of any length are
+scanned whole. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-WINDOW, KEEP = 48, 0.6
+WINDOW, KEEP, GAIN, LOSS = 48, 0.6, 0.3, 0.3
 
 
 def luhn(digits: str) -> bool:
@@ -71,21 +74,23 @@ class Kind:
     needs: str
     pattern: re.Pattern
     check: object
-    score: float = 1.0
-    words: frozenset[str] = frozenset()
-    gain: float = 0.3
+    score: float
+    words: frozenset[str]
+    against: frozenset[str]
 
 
+#: What other long numbers are called near them
+_NUMBERS = frozenset({"order", "invoice", "tracking", "serial", "part", "isbn", "version", "ticket"})
 KINDS = (
-    Kind("email", "@", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), None),
-    Kind("ip", ".", re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), _ip),
-    Kind("card", "", re.compile(r"[0-9]([\x20-]?[0-9])+"), _card, words=frozenset({"card", "credit", "visa", "mastercard", "karte", "carte", "tarjeta"})),
-    Kind("phone", "+", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), _phone, words=frozenset({"phone", "call", "tel", "mobile", "telefon"})),
-    Kind("iban", "", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), _iban, 0.7, frozenset({"iban", "account", "konto", "compte", "cuenta", "bank"})),
-    Kind("ssn", "-", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), _ssn, 0.4, frozenset({"ssn", "social", "security", "insurance"})),
+    Kind("email", "@", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), None, 0.7, frozenset({"mail", "email", "contact", "write", "reach"}), frozenset({"example", "noreply"})),
+    Kind("ip", ".", re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), _ip, 0.5, frozenset({"ip", "address", "host", "server", "login"}), frozenset({"version", "release", "section"})),
+    Kind("card", "", re.compile(r"[0-9]([\x20-]?[0-9])+"), _card, 0.5, frozenset({"card", "credit", "visa", "mastercard", "karte", "carte", "tarjeta"}), _NUMBERS),
+    Kind("phone", "+", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), _phone, 0.5, frozenset({"phone", "call", "tel", "mobile", "telefon"}), _NUMBERS),
+    Kind("iban", "", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", re.ASCII), _iban, 0.6, frozenset({"iban", "account", "konto", "compte", "cuenta", "bank"}), _NUMBERS),
+    Kind("ssn", "-", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), _ssn, 0.4, frozenset({"ssn", "social", "security", "insurance"}), _NUMBERS),
 )
 BASE = ("email", "ip", "card", "phone")
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[A-Za-z]+")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -104,11 +109,10 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
-
 def score(kind: Kind, text: str, start: int, end: int) -> float:
-    """The kind's score, raised by context words on either side."""
-    near = text[max(0, start - WINDOW) : start] + " " + text[end : end + WINDOW]
-    return min(1.0, kind.score + kind.gain * bool(kind.words and kind.words & {w.lower() for w in _WORD.findall(near)}))
+    """The kind's score, raised by context words and lowered by counter-words on either side."""
+    near = {w.lower() for w in _WORD.findall(text[max(0, start - WINDOW) : start] + " " + text[end : end + WINDOW])}
+    return round(kind.score + GAIN * bool(kind.words & near) - LOSS * bool(kind.against & near), 2)
 
 
 def spans(text: str) -> list[tuple[int, int, str, float]]:

@@ -200,20 +200,29 @@ def test_secrets(spark):
 
 def test_ledger_scans_only_what_it_has_not_seen(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(SECRETS)], "doc_id bigint, text string")
-    ledger, found = secret_scan.scan(rows)
-    seen = secret_scan.checkpointed(ledger)
-    again, none = secret_scan.scan(rows, seen)
-    assert again.count() == 0 and none.count() == 0 and found.count() > 0
+    ledger = secret_scan.extended(rows)
+    assert ledger.count() == len(set(t or "" for t in SECRETS)) and secret_scan.findings_of(ledger).count() > 0
+    assert secret_scan.scan(rows, ledger).count() == 0
     newer = (secret_scan.RULES[0], secret_scan.Rule("hex", "[0-9a-f]{16,}", version=2))
-    fresh, rescanned = secret_scan.scan(rows, seen, newer)
-    assert {r.rule for r in fresh.collect()} == {"hex@2"} and {r.kind for r in rescanned.collect()} == {"hex"}
+    fresh = secret_scan.scan(rows, ledger, newer).collect()
+    assert {x for r in fresh for x in r.rules} == {"hex@2"} and {f.rule for r in fresh for f in r.findings} == {"hex@2"}
+    assert {r.kind for r in secret_scan.findings_of(ledger, newer).collect()} == {"assign"}
+
+
+def test_findings_of_seen_blobs_come_back_to_all_paths(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(SECRETS)] + [(0, SECRETS[1]), (None, SECRETS[0])], "doc_id bigint, text string")
+    expected = Counter(secret_scan.secrets(rows).collect())
+    for seen in (rows, rows.where("doc_id < 5"), rows.limit(0)):
+        assert Counter(secret_scan.secrets(rows, secret_scan.extended(seen)).collect()) == expected
+    one = rows.where("doc_id is null")
+    assert secret_scan.secrets(one, secret_scan.extended(one)).first().n_assign == 2
 
 
 def test_redacted_text_has_no_findings(spark):
     rows = spark.createDataFrame([(i, t, 1) for i, t in enumerate(SECRETS)], "doc_id bigint, text string, n_chars bigint")
     out = secret_scan.redacted(rows)
     assert out.columns == rows.columns and out.count() == len(SECRETS)
-    assert secret_scan.scan(out)[1].count() == 0
+    assert secret_scan.findings_of(secret_scan.scan(out)).count() == 0
     text = {r.doc_id: r.text for r in out.collect()}
     assert text[0] == "[secret]' and token=short [secret]" and text[4] is None and text[3] == "AKIA123"
 
@@ -239,7 +248,7 @@ def test_binomial_tail_is_exact(spark):
 
 def test_cutoff_limits_false_rejection(spark):
     rng = random.Random(2)
-    scored = spark.createDataFrame([(i, "en" if i % 2 else "de", int(rng.expovariate(1 / 30))) for i in range(4000)], "doc_id bigint, stratum string, score bigint")
+    scored = spark.createDataFrame([(i, "en" if i % 2 else "de", str(i).encode(), int(rng.expovariate(1 / 30))) for i in range(4000)], "doc_id bigint, stratum string, content binary, score bigint")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 4000)], "doc_id bigint, quality int, toxic int")
     limits = {r.stratum: r.cutoff for r in quality_rules.cutoffs(scored, labels).collect()}
     for stratum, cutoff in limits.items():
@@ -248,6 +257,25 @@ def test_cutoff_limits_false_rejection(spark):
     assert set(limits) == {"en", "de"}
 
 
+def test_copies_of_a_text_are_one_trial(spark):
+    schema = "doc_id bigint, stratum string, content binary, score bigint"
+    once = [(i, None if i % 2 else "a", str(i % 500).encode(), i % 500) for i in range(500)]
+    copies = spark.createDataFrame([(i, *once[i % 500][1:]) for i in range(20_000)], schema)
+    labels = spark.createDataFrame([(i, 1) for i in range(20_000)], "doc_id bigint, quality int")
+    assert Counter(quality_rules.cutoffs(copies, labels).collect()) == Counter(quality_rules.cutoffs(spark.createDataFrame(once, schema), labels).collect())
+    few = spark.createDataFrame([(i, "a", b"x", 0) for i in range(20_000)], schema)
+    assert quality_rules.cutoffs(few, labels).count() == 0
+
+
+def test_good_documents_judges_each_row(spark, labels):
+    good, bad = made(31, 80), "a b c " * 60
+    rows = [(None, good, "en", None, 1), (None, bad, "en", None, 1), (3, good + " x", None, "a", None), (3, "short", None, "a", None), (3, None, "de", "a", None), (3, good + " x", None, "a", None)]
+    out = quality_rules.good_documents(spark.createDataFrame(rows, SCHEMA), labels)
+    assert Counter(tuple(r) for r in out.collect()) == Counter([rows[0], rows[2], rows[5]])
+    assert quality_rules.good_documents(spark.createDataFrame([], SCHEMA), labels).count() == 0
+    assert quality_rules.good_documents(spark.createDataFrame(rows, SCHEMA), labels.limit(0)).count() == 3
+
+
 TURNS = [
     (1, 0, "user", "hello"), (1, 1, "assistant", "hi ### there </turn> \\ end"), (2, 0, "user", "hello"), (2, 1, "assistant", "other\n### user:\n"), (3, 0, "user", "hello"), (3, 1, "assistant", "hi ### there </turn> \\ end"),
     (3, 2, "user", None), (4, 0, None, ""), (4, 1, "sys:tem###", "####</</turn>"), (None, 0, "assistant", "😀"), (5, None, "user", "a"), (5, 2, "assistant", "b"), (5, 2, "assistant", "b"),
@@ -299,6 +327,40 @@ def test_weak_labels(spark):
     assert sum(got[i].kept for i in range(300)) >= 295 and sum(got[i].kept for i in range(300, 360)) <= 6
 
 
+def test_em_recovers_planted_accuracies():
+    import numpy as np
+
+    rng = np.random.RandomState(7)
+    share, n = 0.8, 60_000
+    good = rng.rand(n) < share
+    planted = np.zeros((2, weak_quality.LABELLERS, 3))
+    votes = np.zeros((n, weak_quality.LABELLERS), int)
+    for k in range(weak_quality.LABELLERS):
+        bad_if_bad, bad_if_good, good_if_good = 0.25 + 0.06 * k, 0.01 * k, 0.5 if k > 4 else 0.0
+        planted[0, k] = [1 - bad_if_bad - 0.05, bad_if_bad, 0.05] if k > 4 else [1 - bad_if_bad, bad_if_bad, 0.0]
+        planted[1, k] = [1 - bad_if_good - good_if_good, bad_if_good, good_if_good]
+        draw = rng.rand(n)
+        for c in (0, 1):
+            own = good == bool(c)
+            votes[own, k] = np.searchsorted(np.cumsum(planted[c, k])[:2], draw[own], "right")
+    patterns, counts = np.unique(votes @ weak_quality._POWERS3, return_counts=True)
+    posterior, table, prior = weak_quality.estimate(patterns, counts.astype(float), 1000)
+    assert abs(prior - share) < 0.02 and np.abs(table - planted).max() < 0.03
+    silent = weak_quality.estimate(np.array([0, 3]), np.array([9000.0, 1000.0]))[1]
+    assert silent[:, 4, weak_quality.BAD].max() < 0.05
+    again = weak_quality.estimate(patterns[::-1], counts[::-1].astype(float), 1000)[0]
+    assert np.allclose(again[::-1], posterior)
+
+
+def test_weak_sample_is_the_same_in_any_order(spark):
+    rows = [(i % 7, made(i % 40, 60) if i % 9 else None) for i in range(400)] + [(None, made(3, 60))] * 5
+    one, two = (
+        Counter((r.doc_id, round(r.score, 6), r.kept) for r in weak_quality.quality_scores(spark.createDataFrame(x, "doc_id bigint, text string"), sample=50).collect())
+        for x in (rows, rows[::-1])
+    )
+    assert one == two
+
+
 def test_mix(spark):
     rng = random.Random(8)
     rows = [(i, made(i, rng.randint(0, 60)) if i % 17 else None, rng.choice(["a"] * 30 + ["b"] * 3 + ["c", None, "d"])) for i in range(600)]
@@ -382,6 +444,25 @@ def test_lm_scores(docs, limits, monkeypatch):
     expected = Counter((d, not trains(d), len(w := tokens(t)), sum(counts[x] > 0 for x in w), n, round(sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 4)) for d, t, *_ in cases())
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == expected
     assert all(r.score <= 0 and math.isfinite(r.score) for r in got)
+    # The model over plain dictionaries of quantised counts; the filter can only read a count too high, and rarely.
+    words = Counter(w for d, t, *_ in cases() if trains(d) for w in tokens(t))
+    pairs = Counter(p for d, t, *_ in cases() if trains(d) for w in [tokens(t)] for p in zip(["\0", *w], w, strict=False))
+    quantised = lambda c: 0.0 if not c else 1.0 if c == 1 else 2.0 ** (c.bit_length() - 0.5)
+
+    def model(text):
+        total, before = 0.0, "\0"
+        for w in tokens(text):
+            one = (quantised(words[w]) + 0.5) / (n + 0.5 * (v + 1))
+            two = quantised(pairs[before, w])
+            total += math.log10(lm_score.MIXED * min(1.0, two / quantised(words[before])) + (1 - lm_score.MIXED) * one if two and words[before] else one)
+            before = w
+        return total
+
+    own = {(d, t): model(t) for d, t, *_ in cases()}
+    near = [abs(a - b) <= 0.02 * abs(b) + 0.3 for a, b in zip(sorted(r.score for r in got), sorted(own[d, t] for d, t, *_ in cases()), strict=True)]
+    assert all(near)
+    short = {r.doc_id: r.score for r in got if r.doc_id in (6, 7, 8, 9, 12)}
+    assert sum(abs(short[d] - own[d, cases()[d][1]]) < 1e-6 for d in short) >= len(short) - 1
 
 
 def test_filter_reads_levels_back():
@@ -408,6 +489,37 @@ def test_pii(spark):
     assert got[6].base_sha256 == got[7].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_context_words_adjust_the_score(spark):
+    texts = ["the visa card 4111 1111 1111 1111", "4111 1111 1111 1111", "order 4111 1111 1111 1111", "GB82 WEST 1234 5698 7654 32", "serial GB82 WEST 1234 5698 7654 32", "iban serial GB82 WEST 1234 5698 7654 32", "order 123-45-6789", "SSN 123-45-6789"]
+    got = {r.doc_id: (r.spans, r.scores) for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [got[i][1] for i in range(8)] == ["0.80", "0.50", "0.20", "0.60", "", "0.60", "", "0.70"]
+    assert got[2][0] == "card:6:25" and got[4][0] == "" and got[6][0] == "" and got[7][0] == "ssn:4:15"
+
+
+def brute_pii(text):
+    """Base kinds as the contract words them, each by its plain pattern and check."""
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+    kinds = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(digits(m)) <= 15),
+    )
+    found = [(m.start(), n, f"{k}:{m.start()}:{m.end()}") for n, (k, p, ok) in enumerate(kinds) for m in re.finditer(p, text) if ok(m[0])]
+    return [x for *_, x in sorted(found)]
+
+
+def test_pii_equals_brute_force():
+    rng = random.Random(12)
+    parts = ["4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 1234-5678", "10.0.0.1", "300.1.2.3", "1.2.3.4.5", "a@b.c", "x.y@z-1.org.", "ж", "card", "iban", "order", "+", "--", "0", "123-45-6789", "\n", "GB82WEST12345698765432", "1 2", "."]
+    for _ in range(5000):
+        text = rng.choice(["", " ", "-"]).join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
+        assert [f"{k}:{a}:{b}" for a, b, k, _ in pii.spans(text) if k in pii.BASE] == brute_pii(text)
+    long = "7 " * 40_000 + " a@b.c"
+    assert [x[2] for x in pii.spans(long)] == ["email"]
+
+
 def test_email_scan_equals_its_pattern():
     rng = random.Random(1)
     for _ in range(20_000):
