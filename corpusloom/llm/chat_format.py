@@ -5,19 +5,22 @@ A conversation is a path of turns. Each turn becomes one node's text, `### role:
 of chained node names puts the tree in depth-first order, and range partitions of that order are packs: a pack emits each
 node once where it first comes up, with the position ids its characters have in their conversation (start and length, as
 they are consecutive), and the attention intervals of its ancestors in the pack. A subtree of any size spreads over as many packs as it
-needs, and only its shared path is emitted again at the start of each. Characters stand for tokens; a tokenizer
-that works turn by turn fits the same layout.
+needs, and only its shared path is emitted again at the start of each.
+
+Starts, positions and intervals count characters, or tokens where an encoder is given (any function from a text to a list
+of token ids that can be pickled); a node's head, text and end are then encoded apart, so that the loss covers whole tokens.
 
 Escaping breaks every control string in a role or text, and unescaping is its exact reverse. Rows are ordered by turn,
 then role and text, nulls first; null roles and texts are empty. Repeated rows are turns of their own. A null conv_id is
-a conversation. Only conv_id, turn, role and text are read.
+a conversation, and a conversation, however long, is one row of one task. An empty table has no packs. Only conv_id, turn, role and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,29 +53,50 @@ def parse(formatted: str) -> list[tuple[str, str, int, int]]:
 
 
 PACKS = (
-    "nodes array<struct<name: string, text: string, start: bigint, position: bigint, loss_start: bigint, loss_end: bigint, ancestors: array<struct<start: bigint, end: bigint>>>>,"
+    "nodes array<struct<name: string, text: string, start: bigint, position: bigint, loss_start: bigint, loss_end: bigint, tokens: array<int>, token_loss_start: bigint, token_loss_end: bigint, ancestors: array<struct<start: bigint, end: bigint>>>>,"
     " leaves array<struct<conv_id: bigint, intervals: array<struct<start: bigint, end: bigint>>>>"
 )
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 _NODE = pa.struct(
-    [("name", pa.string()), ("text", pa.string()), ("start", pa.int64()), ("position", pa.int64()), ("loss_start", pa.int64()), ("loss_end", pa.int64()), ("ancestors", pa.list_(_SPAN))]
+    [
+        ("name", pa.string()), ("text", pa.string()), ("start", pa.int64()), ("position", pa.int64()), ("loss_start", pa.int64()), ("loss_end", pa.int64()),
+        ("tokens", pa.list_(pa.int32())), ("token_loss_start", pa.int64()), ("token_loss_end", pa.int64()), ("ancestors", pa.list_(_SPAN)),
+    ]
 )
 _LEAF = pa.struct([("conv_id", pa.int64()), ("intervals", pa.list_(_SPAN))])
 
 
+_TURNS = "conv_id bigint, turns array<struct<turn: bigint, role: string, text: string>>"
+
+
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        paths = []
+        for turns in batch.column(1).to_pylist():
+            name, path = "", []
+            for t in turns:
+                own = hashlib.md5(f"{len(t['role'])}\0{t['role']}\0{t['text']}".encode()).hexdigest()
+                name = hashlib.md5((name + own).encode()).hexdigest()
+                path.append(name)
+            paths.append(path)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paths, pa.list_(pa.string()))], ["conv_id", "turns", "path"])
+
+
 def conversation_paths(conversations: DataFrame) -> DataFrame:
     """conv_id, turns (ordered), path: chained names of its nodes, each of which names all turns up to it."""
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turn = F.struct(F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    chain = F.aggregate(
-        F.transform("turns", lambda t: F.md5(F.concat_ws("\x00", F.length(t["role"]).cast("string"), t["role"], t["text"]))),
-        F.array().cast("array<string>"),
-        lambda path, own: F.concat(path, F.array(F.md5(F.concat(F.coalesce(F.try_element_at(path, F.lit(-1)), F.lit("")), own)))),
-    )
-    return rows.withColumn("path", chain)
+    return rows.select("conv_id", "turns").mapInArrow(_chain, f"{_TURNS}, path array<string>")
+
+
+def _encoded(turn: dict, encode: Callable[[str], list[int]]) -> tuple[list[int], int, int]:
+    """Token ids of a formatted turn, and where its text's tokens start and end."""
+    text = escape(turn["text"])
+    head, own, end = (encode(x) for x in (format_turn(turn["role"], "")[: -len(_END)], text, _END))
+    return [*head, *own, *end], len(head), len(head) + len(own)
 
 
-def _pack(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], limit: int, encode: Callable[[str], list[int]] | None) -> Iterator[pa.RecordBatch]:
     nodes: list[dict] = []
     leaves: list[dict] = []
     stack: list[tuple[str, int, int, int]] = []  # name, start and end in the pack, position after it
@@ -95,19 +119,24 @@ def _pack(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBa
                 at = stack[-1][3] if stack else 0
                 loss = (len(text) - len(_END) - len(escape(turn["text"])), len(text) - len(_END)) if turn["role"] == "assistant" else (0, 0)
                 ancestors = [{"start": s, "end": e} for _, s, e, _ in stack]
-                nodes.append({"name": name, "text": text, "start": size, "position": at, "loss_start": loss[0], "loss_end": loss[1], "ancestors": ancestors})
-                stack.append((name, size, size + len(text), at + len(text)))
-                size += len(text)
+                tokens, low, high = _encoded(turn, encode) if encode else ([], 0, 0)
+                low, high = (low, high) if loss[1] else (0, 0)
+                nodes.append(
+                    {"name": name, "text": text, "start": size, "position": at, "loss_start": loss[0], "loss_end": loss[1], "tokens": tokens, "token_loss_start": low, "token_loss_end": high, "ancestors": ancestors}
+                )
+                length = len(tokens) if encode else len(text)
+                stack.append((name, size, size + length, at + length))
+                size += length
             leaves.append({"conv_id": conv_id, "intervals": [{"start": s, "end": e} for _, s, e, _ in stack]})
     if leaves:
         yield full()
 
 
-def packs(conversations: DataFrame, pack_chars: int = PACK_CHARS) -> DataFrame:
-    """One row a pack: its nodes in depth-first order, and each conversation's intervals in the pack's text."""
+def packs(conversations: DataFrame, pack_chars: int = PACK_CHARS, encode: Callable[[str], list[int]] | None = None) -> DataFrame:
+    """One row a pack: its nodes in depth-first order, and each conversation's intervals in the pack's text (or tokens)."""
     rows = conversation_paths(conversations)
     ordered = rows.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
-    return ordered.select("conv_id", "turns", "path").mapInArrow(lambda batches: _pack(batches, pack_chars), PACKS)
+    return ordered.select("conv_id", "turns", "path").mapInArrow(partial(_pack, limit=pack_chars, encode=encode), PACKS)
 
 
 _READ = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"

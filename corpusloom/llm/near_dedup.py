@@ -41,7 +41,7 @@ SYMBOLS = CHUNKS * CHUNK
 RADIUS = 2 * CHUNKS - 1
 #: The similarity of op1's contract, and that of a stage that isn't told another.
 PERCENT, STAGE_PERCENT = 85, 80
-BLOCK = 2048
+BLOCK = 1024
 #: Edges of which one task makes a spanning forest: 8 MB.
 EDGES_A_TASK = 1 << 19
 #: A second, longer sketch of single bits, for pairs within the radius only: a bit differs with half the probability of a symbol.

@@ -310,6 +310,31 @@ def test_shared_turns_are_emitted_once(spark):
             assert text[n.start : n.start + len(n.text)] == n.text and n.position == sum(a.end - a.start for a in n.ancestors)
 
 
+@pytest.mark.parametrize("size", [1, 80, 1 << 18])
+def test_packs_in_tokens(spark, size):
+    rows = spark.createDataFrame(TURNS, "conv_id bigint, turn bigint, role string, text string")
+    clash = rows.withColumns({c: F.lit(1) for c in ("path", "turns", "nodes", "name")})
+    by, _bytes = {}, lambda text: list(text.encode())
+    for pack in chat_format.packs(clash, size, _bytes).collect():
+        tokens = [t for n in pack.nodes for t in n.tokens]
+        for n in pack.nodes:
+            assert tokens[n.start : n.start + len(n.tokens)] == list(n.tokens) == _bytes(n.text)
+            assert n.position == sum(a.end - a.start for a in n.ancestors)
+            assert bytes(n.tokens[n.token_loss_start : n.token_loss_end]).decode() == n.text[n.loss_start : n.loss_end]
+        for leaf in pack.leaves:
+            by[leaf.conv_id] = bytes(t for i in leaf.intervals for t in tokens[i.start : i.end]).decode()
+    assert {k: [(r, t) for r, t, *_ in chat_format.parse(v)] for k, v in by.items()} == {
+        k: [(r or "", t or "") for _, _, r, t in sorted((x for x in TURNS if x[0] == k), key=lambda x: -1 if x[1] is None else x[1])] for k in by
+    }
+    assert len(by) == len({x[0] for x in TURNS})
+
+
+def test_a_very_long_conversation(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i}") for i in range(20_000)] + [(2, 0, "user", "x" * 2_000_000)]
+    got = {r.conv_id: r for r in chat_format.read_back(chat_format.packs(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").where("turn < 3000"))).collect()}
+    assert got[1].n_turns == 3000 and got[1].loss_chars == sum(len(f"turn {i}") for i in range(1, 3000, 2)) and got[2].formatted_chars > 2_000_000
+
+
 def test_escaping_is_reversible():
     rng = random.Random(3)
     for _ in range(3000):
@@ -566,6 +591,21 @@ def test_empty_tables_and_odd_rows(docs, labels, benchmark, name):
     assert rows == len(cases()) or name == "mixed"
 
 
+def test_odd_urls(spark):
+    rows = [(1, "http://a.org/" + "x/" * 50_000), (1, "http://a.org/" + "x/" * 50_000), (2, "://"), (3, "HTTP://UP.COM"), (None, "http://h.net/?a#b"), (4, "http://h.net//a//b"), (5, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string").withColumns({c: F.lit("z") for c in ("host", "path", "shape", "rule", "urls", "purity", "template", "html")})
+    got = url_filter.judged(pages, levels=6).collect()
+    assert len(got) == len(rows) and {r.host for r in got} == {"a.org", "", "up.com", "h.net"} and all(r.verdict in ("allow", "block") for r in got)
+    assert len({tuple(r) for r in got if r.page_id == 1}) == 1
+
+
+def test_a_host_of_unique_paths(spark):
+    urls = [f"http://big.net/{'ab'[i % 2]}{i}x/y{i}" for i in range(3000)] + ["http://s.org/1"]
+    got = url_filter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).collect()
+    assert {r.template for r in got if r.host == "big.net"} == {"/*/y0", "/*/*"} or all(r.template.startswith("/") for r in got if r.host == "big.net")
+    assert len(got) == len(urls)
+
+
 def test_empty_conversations_and_pages(spark):
     assert chat_format.read_back(chat_format.packs(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string"))).count() == 0
     assert url_filter.judged(spark.createDataFrame([], "page_id bigint, url string")).count() == 0
