@@ -3,44 +3,86 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import ahocorasick
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Tamil case endings that a noun may take, longest first where one holds another; fixed values
-CASE_ENDINGS = ("இடத்து", "உடைய", "இருந்து", "ஆல்", "ஓடு", "உடன்", "கு", "க்கு", "இல்", "இன்", "ஐ")
+from corpusloom.functions.generate import generated
+
+#: What a phrase loses at its ends, marks that may follow it, endings that a word may take, and how much longer a word may be; fixed values
+OUTER = " \t\r\n,.;:!?-–—'\"“”‘’"
+MARKS = (",", ".", "!", ";", ":", "?", "।")
+CASE_ENDINGS = ("ஐ", "ை", "இன்", "உடைய", "து", "தை", "னை", "ரை", "னது", "னுடைய", "ரும்")
+WORD_SLACK = 8
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("method", T.StringType())])
-PREFIX_SLACK = 8
-_GAP = r"[\s.,;:!?'\"()\-–—…“”‘’।]*"
+_SKIPPED = frozenset(",.;:!?-–—'\"“”‘’")
+_TAMIL_WORD = re.compile(r"[\u0b80-\u0bff]+")
+
+
+def clean_phrase(phrase: str) -> str:
+    """NFC on one line without outer punctuation."""
+    return " ".join(unicodedata.normalize("NFC", phrase or "").split()).strip(OUTER)
+
+
+def _dense(text: str) -> tuple[str, list[int]]:
+    """text without white space and light punctuation, and where each character stood."""
+    places = [i for i, c in enumerate(text) if not c.isspace() and c not in _SKIPPED]
+    return "".join([text[i] for i in places]), places
 
 
 def exact_span(text: str, phrase: str) -> tuple[int, int, str] | None:
-    """The first place of a phrase: as it is, else with any white space and punctuation between its characters."""
-    if not phrase or not text:
+    """The first place of a cleaned phrase: as it is, else without regard to white space and light punctuation between its characters."""
+    phrase = clean_phrase(phrase)
+    if not text or not phrase:
         return None
     if (at := text.find(phrase)) >= 0:
         return at, at + len(phrase), "exact"
-    characters = [c for c in phrase if not re.fullmatch(_GAP, c) or c.isalnum()]
-    if not characters:
-        return None
-    found = re.search(_GAP.join(map(re.escape, characters)), text)
-    return (found.start(), found.end(), "loose") if found else None
+    wanted = "".join(phrase.split())
+    dense, places = _dense(text)
+    at = dense.find(wanted)
+    return (places[at], places[at + len(wanted) - 1] + 1, "loose") if at >= 0 else None
 
 
 def word_span(text: str, phrase: str) -> tuple[int, int, str] | None:
-    """exact_span, else the phrase with a case ending, else a word that begins with it and has few characters more."""
+    """exact_span, else the phrase with one of the endings, else the first Tamil word that begins with it and is little longer."""
     if found := exact_span(text, phrase):
         return found
-    if not phrase or not text:
+    base = clean_phrase(phrase)
+    if not text or not base:
         return None
-    stem = phrase[:-1] if len(phrase) > 3 else phrase
     for ending in CASE_ENDINGS:
-        if (at := text.find(stem + ending)) >= 0:
-            return at, at + len(stem + ending), "case_ending"
-    found = re.search(rf"(?<![\w஀-௿]){re.escape(stem)}[\w஀-௿]{{0,{PREFIX_SLACK}}}", text) if len(stem) > 2 else None
-    return (found.start(), found.end(), "prefix") if found else None
+        if found := exact_span(text, base + ending):
+            return found[0], found[1], "case_ending"
+    short = "".join(base.split())
+    words = (m for m in _TAMIL_WORD.finditer(text) if m[0].startswith(short) and len(m[0]) <= len(short) + WORD_SLACK)
+    return next(((m.start(), m.end(), "prefix") for m in words), None)
+
+
+def contained(rows: DataFrame, key: str, phrases: list[tuple], text: str = "text") -> DataFrame:
+    """key, phrase_id of every phrase (id, text) that a text holds: one pass of an automaton of all phrases over whole texts."""
+
+    def make():
+        automaton, by_text = ahocorasick.Automaton(), {}
+        for name, phrase in phrases:
+            if phrase:
+                by_text.setdefault(phrase, []).append(name)
+        for phrase, names in by_text.items():
+            automaton.add_word(phrase, names)
+        if by_text:
+            automaton.make_automaton()
+
+        def find(text):
+            held = {id(names): names for _, names in automaton.iter(text)} if by_text and text else {}
+            return [(name,) for names in held.values() for name in names]
+
+        return find
+
+    kind = "string" if any(isinstance(name, str) for name, _ in phrases) else "bigint"
+    return generated(rows, [key], [text], f"phrase_id {kind}", make)
 
 
 def _frame(found: list[tuple[int, int, str] | None]) -> pd.DataFrame:

@@ -27,9 +27,14 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
+def strip(column) -> Column:
+    """column without outer white space of any kind."""
+    return F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
+
+
 def missing(column) -> Column:
     """null where a text is null or blank, as blank is how the data model says missing."""
-    return F.nullif(F.trim(column), F.lit(""))
+    return F.nullif(strip(column), F.lit(""))
 
 
 def first_present(*columns) -> Column:
@@ -230,17 +235,38 @@ def cue_present(text, expression: str) -> Column:
     return held
 
 
-def text_quality(text) -> Column:
-    """struct(status, flags, words, symbols): reject rules in order, the first of which gives the status."""
-    tokens = search_tokens(text)
-    symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
-    flags = F.array_compact(
-        F.array(
-            F.when(F.trim(text) == "", "empty"), F.when(is_numbering(text), "numbering_only"), F.when(F.size(tokens) < 3, "too_short"),
-            F.when(symbols * 10 > F.length(text), "symbols"), F.when(F.contains(text, F.lit("�")), "broken_characters"),
-        )
+#: Single tokens that say nothing, digits and words for numbers that make a text numeric; fixed values
+GENERIC_TOKENS = frozenset("உடைய என் தன் தம் நம் அது இது அவன் இவன் அவர் இவர் ஆக ஆகிய என என்று என்னும்".split())
+NUMBER_WORDS = frozenset("பூஜ்யம் சுழியம் ஒன்று ஒரு ஓர் இரண்டு மூன்று நான்கு ஐந்து ஆறு ஏழு எட்டு ஒன்பது பத்து பதினொன்று பன்னிரண்டு பதின்மூன்று பதினான்கு பதினைந்து பதினாறு பதினேழு பதினெட்டு பத்தொன்பது இருபது".split())
+
+
+QUALITY_PUNCTUATION = r"""^[\s,.;:!?()\[\]{}"'“”‘’\-–—/\\|]+$"""
+
+
+def tamil_characters(text) -> Column:
+    return F.regexp_count(text, F.lit(f"[{TAMIL}]"))
+
+
+def text_quality(text, allow_single: bool = True, script=tamil_characters) -> Column:
+    """struct(status, flags, token_count, script_chars, normalized): keep or reject by the first rule that holds, and mild flags of what is kept.
+
+    script counts the characters of the corpus's script; texts with fewer than two of them are rejected.
+    """
+    normalized = F.trim(F.regexp_replace(nfc(F.coalesce(text, F.lit(""))), r"(?U)\s+", " "))
+    tokens, letters = F.regexp_extract_all(normalized, F.lit(rf"[{TAMIL}0-9A-Za-z]+"), F.lit(0)), script(normalized)
+    one = F.get(tokens, F.lit(0))
+    number = F.forall(tokens, lambda x: x.rlike(r"^[0-9௦-௯]+$") | x.isin(*NUMBER_WORDS))
+    why = (
+        F.when(normalized == "", "empty").when(normalized.rlike(QUALITY_PUNCTUATION), "punctuation_only").when((F.size(tokens) > 0) & number, "numeric_only")
+        .when(letters == 0, "no_tamil_text").when(letters < 2, "too_few_tamil_chars").when((F.size(tokens) == 1) & one.isin(*GENERIC_TOKENS), "generic_single_token")
+    )
+    if not allow_single:
+        why = F.coalesce(why, F.when(F.size(tokens) == 1, "single_token_not_allowed"))
+    mild = F.when(F.size(tokens) == 1, "short_but_valid_single_token").when(F.size(tokens) <= 2, "very_short_span").otherwise("clean")
+    return F.struct(
+        F.when(why.isNull(), "keep").otherwise("reject").alias("status"), F.array(F.coalesce(why, mild)).alias("flags"),
+        F.size(tokens).cast("bigint").alias("token_count"), letters.cast("bigint").alias("script_chars"), normalized.alias("normalized"),
     )
-    return F.struct(F.coalesce(F.get(flags, F.lit(0)), F.lit("clean")).alias("status"), flags.alias("flags"), F.size(tokens).cast("bigint").alias("words"), symbols.cast("bigint").alias("symbols"))
 
 
 def query_map(url) -> Column:

@@ -1,57 +1,66 @@
 """Entity annotation from lexicons: mentions, overlap resolution, co-occurrence and evaluation.
 
-A lexicon is a small table that is compiled into one pattern per entity type on the driver; texts are scanned once where
-they are read. Overlaps are resolved by windows, so a text with any number of mentions stays a sorted run.
+A lexicon is a small table. Each task compiles it into one Aho-Corasick automaton, and texts are scanned once where they
+are read, whatever the number of terms. Overlaps are resolved by windows, so a text with any number of mentions stays a
+sorted run.
 """
 
 from __future__ import annotations
 
-import re
-
+import ahocorasick
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators.occurrences import starts_of
+from corpusloom.functions.generate import generated
+
+_FOUND = "term string, entity_type string, canonical_id string, start_char int, end_char int"
+
+
+def word_character(c: str) -> bool:
+    """Letters, digits, the underscore and all of the Tamil block, whose marks are no letters."""
+    return c.isalnum() or c == "_" or "\u0b80" <= c <= "\u0bff"
+
 
+def _scanner(lexicon: list[tuple[str, str, str]], boundaries: bool, overlapping: bool):
+    def make():
+        by_term: dict[str, list[int]] = {}
+        for n, (term, *_) in enumerate(lexicon):
+            by_term.setdefault(term, []).append(n)
+        automaton = ahocorasick.Automaton()
+        for term, own in by_term.items():
+            automaton.add_word(term, (term, own))
+        if by_term:
+            automaton.make_automaton()
 
-def _named(term: str, kind: str, canonical: str):
-    return lambda start: F.struct(F.lit(term).alias("term"), F.lit(kind).alias("entity_type"), F.lit(canonical).alias("canonical_id"), start.alias("start_char"))
+        def find(text):
+            done: dict[str, int] = {}
+            for last, (term, own) in automaton.iter(text) if by_term and text else ():
+                start, end = last + 1 - len(term), last + 1
+                if not overlapping and start < done.get(term, 0):
+                    continue
+                if boundaries and (start and word_character(text[start - 1]) or end < len(text) and word_character(text[end])):
+                    continue
+                done[term] = end
+                for n in own:
+                    yield *lexicon[n], start, end
 
+        return find
 
-def _advance(size: int):
-    return lambda acc, piece: F.struct((acc["at"] + piece + size).alias("at"), F.concat(acc["found"], F.array(acc["at"] + piece)).alias("found"))
+    return make
 
 
 def mentions(rows: DataFrame, key: str, lexicon: list[tuple[str, str, str]], text: str = "text", boundaries: bool = True) -> DataFrame:
-    """key, term, entity_type, canonical_id, start_char, end_char: non-overlapping occurrences of each term.
+    """key, term, entity_type, canonical_id, start_char, end_char: occurrences of each term that don't overlap themselves.
 
     lexicon: (term, entity type, canonical id). boundaries: letters, digits and Tamil marks may not touch a match.
     """
-    out = []
-    edge = rf"[\p{{L}}\p{{N}}_{tx.TAMIL}]"
-    for term, kind, canonical in lexicon:
-        quoted = re.escape(term)
-        pattern = rf"(?<!{edge}){quoted}(?!{edge})" if boundaries else quoted
-        pieces = F.split(F.col(text), pattern, -1)
-        lengths = F.transform(pieces, lambda p: F.length(p))
-        starts = F.aggregate(
-            F.slice(lengths, 1, F.size(lengths) - 1),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")),
-            _advance(len(term)),
-            lambda acc: acc["found"],
-        )
-        out.append(F.when(F.contains(F.col(text), F.lit(term)), F.transform(starts, _named(term, kind, canonical))))
-    each = F.flatten(F.array_compact(F.array(*out)))
-    found = rows.select(key, F.inline(each))
-    return found.withColumn("end_char", F.col("start_char") + F.length("term"))
+    return generated(rows, [key], [text], _FOUND, _scanner(lexicon, boundaries, overlapping=False))
 
 
 def pilot_mentions(rows: DataFrame, key: str, lexicon: list[tuple[str, str, str]], text: str = "text") -> DataFrame:
     """As mentions, but overlapping ones too and without boundaries; the entity's shorter ones within longer ones go."""
-    each = F.flatten(F.array(*[F.transform(starts_of(F.col(text), t), _named(t, k, c)) for t, k, c in lexicon]))
-    found = rows.select(key, F.inline(each)).withColumn("end_char", F.col("start_char") + F.length("term"))
-    return suppress_contained(found, [key, "canonical_id"])
+    return suppress_contained(generated(rows, [key], [text], _FOUND, _scanner(lexicon, boundaries=False, overlapping=True)), [key, "canonical_id"])
 
 
 def suppress_contained(found: DataFrame, within: list[str]) -> DataFrame:

@@ -52,11 +52,39 @@ def learn_patterns(rows: DataFrame, relation: str, features) -> DataFrame:
     return rows.select(F.col(relation).alias("relation"), F.explode(F.array_distinct(features)).alias("feature")).groupBy("relation", "feature").agg(F.count("*").alias("n"))
 
 
-def pattern_scores(rows: DataFrame, key: str, relation: str, features, learned: DataFrame, cap: float = 0.25) -> DataFrame:
-    """key, score: min(cap, sum of ln(1 + n) / 35 over the row's features as learned for its relation)."""
-    own = rows.select(key, F.col(relation).alias("relation"), F.explode(F.array_distinct(features)).alias("feature"))
-    scored = own.join(learned, ["relation", "feature"]).groupBy(key).agg(F.sum(F.log1p("n") / 35).alias("raw"))
-    return rows.select(key).join(scored, key, "left").select(key, F.least(F.lit(cap), F.coalesce("raw", F.lit(0.0))).alias("score"))
+#: Most of each part of a learned score; fixed values
+PART_CAPS = {"rule": 0.35, "anchor": 0.25, "source_token": 0.15, "target_token": 0.15}
+LEAST_TOKEN_COUNT = 3
+
+
+def pattern_scores(rows: DataFrame, key: str, relation: str, parts: dict[str, Column], learned: DataFrame, sequence: Column, signal: Column) -> DataFrame:
+    """key, learned_<part>_score, learned_sequence_score, existing_semantic_signal, learned_pattern_score, evidence.
+
+    parts: arrays of features by part (PART_CAPS). learned: relation, part, feature, n, with sequence methods as a part of that name.
+    Each part is min(cap, sum of ln(1 + n) / 35) over its features; tokens count from LEAST_TOKEN_COUNT on. signal: the sum of semantic features.
+    """
+    each = F.flatten(F.array(*[F.transform(F.array_distinct(f), lambda x, p=p: F.struct(F.lit(p).alias("part"), x.alias("feature"))) for p, f in [*parts.items(), ("sequence", F.array(sequence))]]))
+    own = rows.select(key, F.col(relation).alias("relation"), F.inline(each))
+    hits = own.join(learned, ["relation", "part", "feature"]).where(~F.col("part").endswith("_token") | (F.col("n") >= LEAST_TOKEN_COUNT))
+    sums = hits.groupBy(key).agg(
+        *[F.sum(F.when(F.col("part") == p, F.log1p("n"))).alias(f"_{p}") for p in parts], F.max(F.when(F.col("part") == "sequence", F.log1p("n"))).alias("_sequence")
+    )
+    out = rows.select(key, signal.alias("_signal")).join(sums, key, "left")
+    scores = {f"learned_{p}_score": F.least(F.lit(PART_CAPS[p]), F.coalesce(F.col(f"_{p}") / 35, F.lit(0.0))) for p in parts}
+    scores |= {"learned_sequence_score": F.least(F.lit(0.1), F.coalesce(F.col("_sequence") / 60, F.lit(0.0))), "existing_semantic_signal": F.least(F.lit(0.25), F.col("_signal") / 5)}
+    token = F.lit(False)
+    for p in parts:
+        token = token | (F.col(f"_{p}").isNotNull() if p.endswith("_token") else F.lit(False))
+    seen = lambda p: F.col(f"_{p}").isNotNull() if p in parts else F.lit(False)
+    evidence = F.array_compact(F.array(F.when(seen("rule"), "rule"), F.when(seen("anchor"), "anchor"), F.when(token, "token"), F.when(F.col("_signal") >= 0.75, "semantic")))
+    total = F.bround(sum(scores.values(), F.lit(0.0)), 4)
+    return out.select(key, *[v.alias(n) for n, v in scores.items()], total.alias("learned_pattern_score"), evidence.alias("evidence"))
+
+
+def learned_parts(rows: DataFrame, relation: str, parts: dict[str, Column], sequence: Column) -> DataFrame:
+    """relation, part, feature, n: what `pattern_scores` takes, learned from rows that are examples."""
+    each = F.flatten(F.array(*[F.transform(F.array_distinct(f), lambda x, p=p: F.struct(F.lit(p).alias("part"), x.alias("feature"))) for p, f in [*parts.items(), ("sequence", F.array(sequence))]]))
+    return rows.select(F.col(relation).alias("relation"), F.inline(each)).groupBy("relation", "part", "feature").agg(F.count("*").alias("n"))
 
 
 #: (least score, tier) of a calibrated score, from the top; fixed values

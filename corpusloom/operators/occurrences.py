@@ -2,33 +2,25 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.functions.generate import generated
 
 GROUP_KEYS = {"author": "author", "work": "work", "source": "source", "category": "category_id", "corpus": "corpus_id"}
 UNKNOWN = "(unknown)"
 
 
-def starts_of(text, term: str) -> Column:
-    """0-based starts of all occurrences of a term, overlapping ones too.
-
-    The text is split before each occurrence by a look-ahead; running lengths of the pieces are the starts.
-    """
-    pieces = F.split(text, f"(?={re.escape(term)})", -1)
-    sums = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")),
-        lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["found"], F.array(acc["at"])).alias("found")),
-        lambda acc: acc["found"],
-    )
-    # The first piece is what stands before the first occurrence, unless the text begins with one.
-    found = F.when(F.startswith(text, F.lit(term)), sums).otherwise(F.slice(sums, 2, F.greatest(F.size(pieces), F.lit(1))))
-    return F.when(F.contains(text, F.lit(term)), found).otherwise(F.array().cast("array<int>"))
+def starts_of(text: str, term: str) -> Iterator[int]:
+    """0-based starts of all occurrences of a term, overlapping ones too."""
+    at = text.find(term)
+    while at >= 0:
+        yield at
+        at = text.find(term, at + 1)
 
 
 def index_rows(records: DataFrame, ids: list[str], fields: list[str]) -> DataFrame:
@@ -37,21 +29,33 @@ def index_rows(records: DataFrame, ids: list[str], fields: list[str]) -> DataFra
     return rows.withColumn("index_id", tx.stable_hash(*map(F.col, ids[:1]), F.col("field_name"), length=16)).withColumn("text_length", F.length("text"))
 
 
-def _named(term: str):
-    return lambda start: F.struct(F.lit(term).alias("matched_term"), start.alias("match_start"))
-
-
 def search(index: DataFrame, terms: list[str]) -> DataFrame:
-    """index rows (record_id, field_name, text, ...) by occurrence: matched_term, match_start, match_end, snippet, deterministic_key."""
+    """index rows (record_id, field_name, text, ...) by occurrence, without the text: matched_term, match_start, match_end, snippet, deterministic_key.
+
+    Texts are read once, where they are; a snippet is cut while its place is known, so hits cost what they hold.
+    """
     terms = [t for t in dict.fromkeys(terms) if t]
-    each = F.flatten(F.array(*[F.transform(starts_of(F.col("text"), t), _named(t)) for t in terms]))
-    any_term = reduce(lambda a, b: a | b, [F.contains("text", F.lit(t)) for t in terms])
-    rows = index.where(any_term).withColumn("hit", F.explode(each)).select("*", "hit.*").drop("hit")
-    rows = rows.withColumn("match_end", F.col("match_start") + F.length("matched_term"))
-    rows = rows.withColumn("snippet", tx.snippet(F.col("text"), F.col("match_start"), F.col("match_end")))
+
+    def make():
+        def find(text):
+            for term in terms:
+                for at in starts_of(text or "", term):
+                    yield term, at, at + len(term), snippet(text, at, at + len(term))
+
+        return find
+
+    any_term = reduce(lambda a, b: a | b, [F.contains("text", F.lit(t)) for t in terms], F.lit(False))
+    keep = [c for c in index.columns if c != "text"]
+    rows = generated(index.where(any_term), keep, ["text"], "matched_term string, match_start bigint, match_end bigint, snippet string", make)
     return rows.withColumn("deterministic_key", F.concat_ws(":", "record_id", "field_name", "matched_term", "match_start"))
 
 
+def snippet(text: str, start: int, end: int, radius: int = tx.SNIPPET_RADIUS) -> str:
+    """Keyword in context, with `...` where the text goes on."""
+    cut = text[max(0, start - radius) : end + radius].strip()
+    return f"{'...' if start > radius else ''}{cut}{'...' if end + radius < len(text) else ''}"
+
+
 def group_value(group_by: str) -> Column:
     if group_by not in GROUP_KEYS:
         raise ValueError(f"unsupported group_by: {group_by}")
@@ -67,7 +71,7 @@ def group(occurrences: DataFrame, group_by: str = "author", top_n: int = 10, tot
     """Occurrences by group: counts, percentage, distinct records, works and authors, counts by term and field, first three examples.
 
     Ordered by count, then key. Terms and fields are counted before they are gathered, and examples are the smallest
-    three keys by a top-3 aggregate, so a group of any size is never collected. total: the count before a limit, if one was set.
+    three keys by a window with a limit, so a group of any size is never collected. total: the count before a limit, if one was set.
     """
     rows = occurrences.withColumn("group_key", group_value(group_by))
     present = lambda c: F.count_distinct(tx.missing(F.col(c).cast("string")))

@@ -1,15 +1,22 @@
 """Lexical, semantic and hybrid retrieval for a table of queries at once, with query expansion.
 
-Queries are a stated set that is answered in one plan: lexical candidates come from a join of terms, not from pairs of
-all queries and records. Every ranking ends in a unique key.
+Queries are a stated set that goes to the records in passes of bounded size; records are scored where they are read, and only the best
+of each task and query are shuffled. Every ranking ends in a unique key.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.functions import text as tx
 
@@ -39,18 +46,86 @@ def supported(filters: dict[str, object]) -> dict[str, object]:
     return {k: v for k, v in filters.items() if k in SUPPORTED_FILTERS}
 
 
-def lexical_scores(queries: DataFrame, records: DataFrame, weights: dict[str, int] = FIELD_WEIGHTS) -> DataFrame:
-    """query_id, record_id, score: weight x number of distinct query tokens found, over the fields in weights.
+#: Most query terms, with the queries that have them, that one pass over the records carries.
+PASS_TERMS = 1 << 20
 
-    queries: query_id, query. records: record_id and the fields. Both sides are exploded to terms and joined on them; counts
-    meet by (query, record) only.
+
+def _passes(queries: DataFrame) -> Iterator[tuple[list, list[str], np.ndarray, np.ndarray]]:
+    """Queries in passes of bounded size: their ids, all terms, and of term t the queries owners[starts[t] : starts[t + 1]]."""
+    ids, pairs = [], []
+
+    def packed():
+        terms = sorted({t for t, _ in pairs})
+        place = {t: n for n, t in enumerate(terms)}
+        own = np.array(sorted((place[t], q) for t, q in pairs), np.int64).reshape(-1, 2)
+        return ids, terms, np.searchsorted(own[:, 0], np.arange(len(terms) + 1)), own[:, 1]
+
+    for row in queries.select("query_id", F.array_distinct(tx.search_tokens(F.col("query"))).alias("terms")).toLocalIterator():
+        pairs += [(t, len(ids)) for t in row.terms or ()]
+        ids.append(row.query_id)
+        if len(pairs) >= PASS_TERMS:
+            yield packed()
+            ids, pairs = [], []
+    if ids:
+        yield packed()
+
+
+def lexical_topk(queries: DataFrame, records: DataFrame, k: int, weights: dict[str, int] = FIELD_WEIGHTS) -> DataFrame:
+    """query_id, rank, record_id, score: the k best records of each query by weight x number of distinct query tokens found in each field.
+
+    queries: query_id, query; a stated set, read in passes of bounded size. records: record_id and the fields. A record is scored
+    where it is read, and a task hands on its k best of each query only, so a term that all records have costs no shuffle.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tx.search_tokens(F.col("query")))).alias("term"))
-    held = None
-    for field, weight in weights.items():
-        own = records.select("record_id", F.lit(weight).alias("weight"), F.explode(F.array_distinct(tx.search_tokens(F.col(field)))).alias("term"))
-        held = own if held is None else held.unionByName(own)
-    return held.join(asked, "term").groupBy("query_id", "record_id").agg(F.sum("weight").cast("bigint").alias("score"))
+    fields, points = list(weights), list(weights.values())
+    tokens = records.select("record_id", *[F.array_distinct(tx.search_tokens(F.col(f))).alias(f) for f in fields])
+    query_kind, record_kind = queries.schema["query_id"].dataType, records.schema["record_id"].dataType
+    schema = T.StructType([T.StructField("query_id", query_kind), T.StructField("record_id", record_kind), T.StructField("score", T.LongType())])
+    out = queries.sparkSession.createDataFrame([], schema)
+    for ids, terms, starts, owners in _passes(queries):
+
+        def score(batches: Iterator[pa.RecordBatch], ids=ids, terms=terms, starts=starts, owners=owners) -> Iterator[pa.RecordBatch]:
+            place = {t: n for n, t in enumerate(terms)}
+            best: list[list] = [[] for _ in ids]
+            for batch in batches:
+                names = batch.column(0).to_pylist()
+                columns = [batch.column(1 + n).to_pylist() for n in range(len(fields))]
+                for row, name in enumerate(names):
+                    total = np.zeros(len(ids), np.int64)
+                    for column, weight in zip(columns, points, strict=True):
+                        own = [owners[starts[n] : starts[n + 1]] for t in column[row] or () if (n := place.get(t)) is not None]
+                        if own:
+                            total += weight * np.bincount(np.concatenate(own), minlength=len(ids))
+                    for q in np.flatnonzero(total).tolist():
+                        entry = (int(total[q]), _Late(name))
+                        if len(best[q]) < k:
+                            heapq.heappush(best[q], entry)
+                        elif entry > best[q][0]:
+                            heapq.heapreplace(best[q], entry)
+            rows = [(q, e[1].value, e[0]) for q, own in zip(ids, best, strict=True) for e in own]
+            made = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*rows, strict=True) if rows else ([], [], []), schema, strict=True)]
+            yield pa.RecordBatch.from_arrays(made, ["query_id", "record_id", "score"])
+
+        out = out.unionByName(tokens.mapInArrow(score, schema))
+    return top_k(out, k, "score", "record_id")
+
+
+class _Late:
+    """A key that is smaller the later it comes in order, so that of equal scores the earliest key is kept."""
+
+    __slots__ = ("value",)
+
+    def __init__(self, value):
+        self.value = value
+
+    def __lt__(self, other) -> bool:
+        return _ordered(self.value) > _ordered(other.value)
+
+    def __eq__(self, other) -> bool:
+        return self.value == other.value
+
+
+def _ordered(value):
+    return value.encode() if isinstance(value, str) else value
 
 
 def top_k(scored: DataFrame, k: int, by: str, *ties: str, of: str = "query_id") -> DataFrame:
@@ -123,15 +198,60 @@ def normalized(vector) -> Column:
     return F.when(norm > 0, F.transform(vector, lambda x: x / norm)).otherwise(F.raise_error(F.lit("embedding has zero norm")))
 
 
+#: Query vectors of one pass, and rows of one matrix product.
+PASS_VECTORS, PRODUCT_ROWS = 4096, 1024
+#: Digits of a similarity that count, so that equal vectors tie whatever block they lie in.
+SIMILARITY_DIGITS = 12
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of equal length, scaled to length 1."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    rows = flat.reshape(len(column), -1)
+    length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    if not (length > 0).all():
+        raise ValueError("embedding has zero norm")
+    return rows / length
+
+
 def semantic_search(queries: DataFrame, vectors: DataFrame, k: int = 10, filters: dict[str, object] | None = None) -> DataFrame:
-    """query_id, rank, vec_id, similarity: exact cosine top-k of every query vector.
+    """query_id, rank, vec_id, similarity: exact cosine top-k of every query vector, ties by vec_id.
 
-    queries (query_id, query_vector) are a stated set, joined to all vectors as one block that is broadcast only if Spark finds
-    it small; filters go below the product, and a partial top-k per query is kept before ranks are drawn.
+    queries (query_id, query_vector) are a stated set, held in passes of bounded size against all vectors that pass the filters:
+    a matrix product for each block of vectors where it is read, of which a task hands on its k best of each query.
     """
-    rows = vectors.where(passes_filters(filters or {})).join(queries, F.lit(True))
-    scored = rows.select("query_id", "vec_id", (dot("embedding", "query_vector") / F.sqrt(dot("embedding", "embedding") * dot("query_vector", "query_vector"))).alias("similarity"))
-    return top_k(scored, k, "similarity", "vec_id")
+    rows = vectors.where(passes_filters(filters or {})).where("vec_id is not null and embedding is not null").select("vec_id", "embedding")
+    asked = queries.where("query_vector is not null").select("query_id", "query_vector")
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("vec_id", vectors.schema["vec_id"].dataType), T.StructField("similarity", T.DoubleType())])
+    out, held = queries.sparkSession.createDataFrame([], schema), []
+
+    def against(own: list) -> DataFrame:
+        ids = np.array([r.query_id for r in own])
+        block = _matrix(pa.array([r.query_vector for r in own]))
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best_id = best = None
+            for batch in batches:
+                for at in range(0, len(batch), PRODUCT_ROWS):
+                    part = batch.slice(at, PRODUCT_ROWS)
+                    names = part.column(0).to_numpy(zero_copy_only=False)
+                    near = np.round(block @ _matrix(part.column(1)).T, SIMILARITY_DIGITS)
+                    names = np.broadcast_to(names, near.shape)
+                    if best is not None:
+                        near, names = np.concatenate([best, near], axis=1), np.concatenate([best_id, names], axis=1)
+                    order = np.lexsort((names, -near), axis=1)[:, :k]
+                    best, best_id = np.take_along_axis(near, order, 1), np.take_along_axis(names, order, 1)
+            if best is not None:
+                made = [np.repeat(ids, best.shape[1]), best_id.ravel(), best.ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(m, to_arrow_type(f.dataType)) for m, f in zip(made, schema, strict=True)], schema.names)
+
+        return rows.mapInArrow(find, schema)
+
+    for row in asked.toLocalIterator():
+        held.append(row)
+        if len(held) == PASS_VECTORS:
+            out, held = out.unionByName(against(held)), []
+    return top_k(out.unionByName(against(held)) if held else out, k, "similarity", "vec_id")
 
 
 def hybrid(lexical: DataFrame, semantic: DataFrame, k: int = 10, lexical_weight: float = LEXICAL_WEIGHT, semantic_weight: float = SEMANTIC_WEIGHT, filters: int = 0) -> DataFrame:
@@ -218,19 +338,42 @@ def expand(query: str, registries: list[tuple[str, list[dict]]]) -> dict:
     return {"expanded_terms": list(terms), "rules": rules, "text": text, "applied": text != plain, "registries": list(dict.fromkeys(r["registry"] for r in rules))}
 
 
-#: Intents in order of priority with the words that show them; fixed values
-INTENTS = (("comparison", ("compare", "versus", "difference")), ("aggregation", ("count", "how many", "distribution", "frequency")), ("occurrence", ("where", "occurrence", "mentions")), ("explanation", ("why", "meaning", "explain")), ("lookup", ("show", "find", "which")))
-
-
-def classify_query(query: str) -> str:
-    """The first intent one of whose words is in the query, else lookup."""
-    said = query.lower()
-    return next((name for name, cues in INTENTS if any(c in said for c in cues)), "lookup")
-
-
-def target_term(query: str, registered: list[str], stop: frozenset[str] = frozenset()) -> str:
-    """The longest registered term in the query, else what is quoted, else its first word that is no stop word."""
-    held = [t for t in sorted(registered, key=lambda t: (-len(t), t)) if t in query]
-    quoted = re.search(r"[\"'“]([^\"'”]+)[\"'”]", query)
-    words = [w for w in re.findall(r"[\w஀-௿]+", query) if w.lower() not in stop]
-    return held[0] if held else quoted[1] if quoted else words[0] if words else ""
+#: Intents in order of priority with the words that show them, and what each groups by; fixed values
+INTENTS = (
+    ("group_by_author", "author", ("ஆசிரியர்", "ஆசிரியர்கள்", "நாயன்மார்", "author", "authors", "poet", "poets")),
+    ("group_by_work", "work", ("work", "works", "நூல்", "நூல்கள்", "இலக்கியங்களில்", "பாடல்களில்")),
+    ("group_by_category", "category", ("corpus", "category", "collection", "இலக்கியத்தில்", "இலக்கியம்", "தொகுப்பு")),
+    ("group_by_record_type", "record_type", ("record type", "record types", "record_type", "வகை", "பகுதி")),
+    ("compare_sources", "source", ("source", "sources", "மூலம்", "ஆதாரம்")),
+)
+#: Words that show a question about occurrences, that ask for variants, and that are no target; fixed values
+ANALYTICAL_HINTS = ("அதிக", "அதிகம்", "எங்கு", "எந்த", "வருகிறது", "வருகின்றன", "mentions", "most", "count")
+EXPANSION_HINTS = ("தொடர்பான", "சார்ந்த", "ஒத்த", "variant", "synonym")
+TARGET_STOP = frozenset({"எந்த", "எங்கு", "அதிகம்", "அதிக", "வருகிறது", "வருகின்றன", "இல்", "உள்ள"})
+
+
+def plain(text: str) -> str:
+    """NFC on one line."""
+    return " ".join(unicodedata.normalize("NFC", text or "").split())
+
+
+def target_term(query: str, registered: list[str]) -> str:
+    """The longest registered term in the query, else what is quoted, else its first Tamil word of two letters or more that is no stop word."""
+    said = plain(query)
+    if held := next((t for t in sorted(registered, key=lambda t: (-len(t), t)) if t and t in said), None):
+        return held
+    if quoted := re.search(r'"([^"]*)"', said):
+        return quoted[1].strip()
+    words = [w.strip(" ?.,:;\"'") for w in said.split() if any("\u0b80" <= c <= "\u0bff" for c in w)]
+    return next((w for w in words if w not in TARGET_STOP and len(w) > 1), "")
+
+
+def classify_query(query: str, registered: list[str] | None = None) -> dict:
+    """intent, group_by, term and the words that decided: the first intent one of whose words the query has; unsupported without a target."""
+    said = plain(query).lower()
+    found = next(((name, by, [w for w in words if w.lower() in said]) for name, by, words in INTENTS if any(w.lower() in said for w in words)), None)
+    if found is None and any(w.lower() in said for w in ANALYTICAL_HINTS):
+        found = ("term_occurrence", None, [])
+    term = target_term(query, registered or [])
+    intent, group_by, words = found if found and term else ("unsupported", None, [])
+    return {"query": plain(query), "intent": intent, "group_by": group_by, "term": term, "matched_group_keywords": words}

@@ -2,38 +2,60 @@
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.functions.generate import generated
 
 CLAUSE_END = r"[.!?।;,]+"
 CHUNK_TYPES = ("verse_only", "verse_plus_commentary", "metadata_context", "pozhppurai_only", "kurippurai_only")
 
 
+def _lines():
+    def find(text):
+        begin = 0
+        for number, line in enumerate((text or "").splitlines(keepends=True), 1):
+            own = line.splitlines()[0]
+            if own.strip():
+                yield number, begin, begin + len(own), own
+            begin += len(line)
+
+    return find
+
+
 def line_spans(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, line_no (from 1, blank lines not counted), start_char, end_char, line_text of the non-blank lines of each text; key is unique.
+    """key, line_no, start_char, end_char, line_text of the non-blank lines of each text.
 
-    Offsets are running sums over all lines of a text and count code points from 0, end exclusive, without outer spaces.
+    All lines are numbered from 1, blank ones too, and end at any line break. A line is whole, with its outer spaces;
+    offsets count code points from 0, end exclusive. Each row is a text of its own, also where keys repeat.
     """
-    lines = rows.select(key, F.posexplode(F.split(text, "\n", -1)).alias("at", "raw"))
-    order = Window.partitionBy(key).orderBy("at")
-    lines = lines.withColumn("begin", F.sum(F.length("raw") + 1).over(order) - F.length("raw") - 1)
-    lead = F.length("raw") - F.length(F.ltrim("raw"))
-    spans = lines.withColumn("line_text", F.trim("raw")).where("line_text <> ''").withColumn("start_char", F.col("begin") + lead)
-    return spans.select(key, F.row_number().over(order).cast("bigint").alias("line_no"), "start_char", (F.col("start_char") + F.length("line_text")).alias("end_char"), "line_text")
+    return generated(rows, [key], [text], "line_no bigint, start_char bigint, end_char bigint, line_text string", _lines)
+
+
+_CLAUSE = re.compile(rf"[^.!?।;,]*{CLAUSE_END}|[^.!?।;,]+")
+_BLANK = " \t\n\x0b\f\r"
+
+
+def _clauses():
+    def find(text):
+        number = 0
+        for m in _CLAUSE.finditer(text or ""):
+            if own := m[0].strip(_BLANK):
+                number += 1
+                start = m.start() + len(m[0]) - len(m[0].lstrip(_BLANK))
+                yield number, start, start + len(own), own
+
+    return find
 
 
 def segment_spans(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, segment_no (from 1), start_char, end_char, segment_text: clauses, each with the punctuation that ends it, trimmed."""
-    parts = F.regexp_extract_all(F.col(text), F.lit(rf"[^.!?।;,]*{CLAUSE_END}|[^.!?।;,]+"), F.lit(0))
-    clauses = rows.select(key, F.posexplode(parts).alias("at", "raw"))
-    order = Window.partitionBy(key).orderBy("at")
-    clauses = clauses.withColumn("begin", F.sum(F.length("raw")).over(order) - F.length("raw"))
-    trimmed = F.regexp_replace("raw", r"^\s+|\s+$", "")
-    lead = F.length("raw") - F.length(F.regexp_replace("raw", r"^\s+", ""))
-    spans = clauses.withColumn("segment_text", trimmed).where("segment_text <> ''").withColumn("start_char", F.col("begin") + lead)
-    return spans.select(key, F.row_number().over(order).cast("bigint").alias("segment_no"), "start_char", (F.col("start_char") + F.length("segment_text")).alias("end_char"), "segment_text")
+    return generated(rows, [key], [text], "segment_no bigint, start_char bigint, end_char bigint, segment_text string", _clauses)
 
 
 def segment_windows(segments: DataFrame, key: str, most: int = 3) -> DataFrame:
@@ -73,16 +95,36 @@ def postings(rows: DataFrame, key: str, tokens) -> DataFrame:
     return rows.select(F.explode(F.array_distinct(tokens)).alias("term"), key)
 
 
-def posting_lists(posted: DataFrame, key: str) -> DataFrame:
-    """term, ids (sorted), n. For terms of bounded frequency; `postings` is the form for all."""
-    return posted.groupBy("term").agg(F.array_sort(F.collect_set(key)).alias("ids"), F.count_distinct(key).alias("n"))
+def posting_lists(posted: DataFrame, key: str, block: int = 4096) -> DataFrame:
+    """term, block_no, ids (sorted), n: a term's ids in blocks of at most about `block` of them, dealt by a hash of the id.
+
+    A term that a third of all records have is thus many rows of bounded size. Blocks of a term are as many as its records need.
+    """
+    sizes = posted.groupBy("term").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    rows = posted.join(sizes, "term").withColumn("block_no", F.pmod(F.xxhash64(key), F.col("blocks")))
+    return rows.groupBy("term", "block_no").agg(F.array_sort(F.collect_set(key)).alias("ids")).withColumn("n", F.size("ids").cast("bigint"))
+
+
+def _frequent(most: int):
+    def make():
+        def find(tokens):
+            counted = Counter(t for t in tokens or () if len(t) > 1)
+            for nth, (term, n) in enumerate(heapq.nsmallest(most, counted.items(), key=lambda x: (-x[1], x[0].encode())), 1):
+                yield term, n, nth
+
+        return find
+
+    return make
 
 
 def keyword_candidates(rows: DataFrame, key: str, tokens, most: int = 30) -> DataFrame:
     """key, term, n, nth: each row's most frequent tokens of more than one character, by count and then term."""
-    counted = rows.select(key, F.explode(tokens).alias("term")).where("length(term) > 1").groupBy(key, "term").agg(F.count("*").alias("n"))
-    order = Window.partitionBy(key).orderBy(F.desc("n"), "term")
-    return counted.withColumn("nth", F.row_number().over(order).cast("bigint")).where(F.col("nth") <= most)
+    return generated(rows.select(key, tokens.alias("_tokens")), [key], ["_tokens"], "term string, n bigint, nth bigint", _frequent(most))
+
+
+def word_counts(rows: DataFrame, tokens, most: int = 3) -> DataFrame:
+    """term, n: word n-grams of one to `most` words over all rows."""
+    return rows.select(F.explode(tx.word_ngrams(tokens, most)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
 def rebuilt_spans(tables: list[tuple[DataFrame, str, str]]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.functions.find import contained, find_exact
 from corpusloom.operators import alignment, audit, entities, evaluation, linking, occurrences, rag, records, reports, retrieval, sampling, spans
 from corpusloom.sources import html
 from corpusloom.streaming.occurrence_stream import windowed_counts
@@ -71,7 +72,7 @@ def occ_group_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(
     f"""WITH {_OCC}
 SELECT doc_id AS record_id, matched_term, match_start, match_end,
-  CASE WHEN match_start > 42 THEN '...' ELSE '' END || trim(substr(text, CAST(greatest(0, match_start - 42) + 1 AS BIGINT), CAST(least(length(text), match_end + 42) - greatest(0, match_start - 42) AS BIGINT)))
+  CASE WHEN match_start > 42 THEN '...' ELSE '' END || regexp_replace(substr(text, CAST(greatest(0, match_start - 42) + 1 AS BIGINT), CAST(least(length(text), match_end + 42) - greatest(0, match_start - 42) AS BIGINT)), '^\\s+|\\s+$', '', 'g')
     || CASE WHEN match_end + 42 < length(text) THEN '...' ELSE '' END AS snippet
 FROM occ"""
 )
@@ -144,10 +145,12 @@ def postings_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
 
-@registered(f"SELECT term, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS ids, count(DISTINCT item_id) AS n FROM (SELECT item_id, unnest({_TOKENS % 'text'}) AS term FROM benchmark) GROUP BY term")
+@registered(f"SELECT term, count(DISTINCT doc_id) AS n, CAST(sum(DISTINCT doc_id) AS BIGINT) AS id_sum, sha256(string_agg(DISTINCT CAST(doc_id AS VARCHAR), ',' ORDER BY CAST(doc_id AS VARCHAR))) AS ids_sha256 FROM (SELECT doc_id, unnest({_TOKENS % 'text'}) AS term FROM documents) GROUP BY term")
 def posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = spans.posting_lists(spans.postings(table(spark, sf_dir, "benchmark"), "item_id", tx.search_tokens(F.col("text"))), "item_id")
-    return lists.select("term", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), "n")
+    """Every term's ids, read back from their blocks and named by a digest; a term's blocks meet for the digest only."""
+    lists = spans.posting_lists(spans.postings(table(spark, sf_dir, "documents"), "doc_id", tx.search_tokens(F.col("text"))), "doc_id")
+    rows = lists.groupBy("term").agg(F.sum("n").alias("n"), F.sum(F.aggregate("ids", F.lit(0).cast("bigint"), lambda s, x: s + x)).alias("id_sum"), F.flatten(F.collect_list("ids")).alias("ids"))
+    return rows.select("term", "n", "id_sum", F.sha2(F.array_join(F.array_sort(F.transform("ids", lambda x: x.cast("string"))), ","), 256).alias("ids_sha256"))
 
 
 @registered(
@@ -163,11 +166,15 @@ def char_trigram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", tx.jaccard(F.col("a"), F.col("b")).alias("similarity"))
 
 
+#: A line with its break, and the break.
+_BREAK = r"(?:\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}])$"
+_LINE = r"[^\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]*(?:\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}])|[^\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]+"
+
+
 @registered(
-    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-p AS (SELECT *, sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(raw) - 1 AS b FROM l)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS line_no, CAST(b + length(raw) - length(ltrim(raw)) AS BIGINT) AS start_char,
-  CAST(b + length(raw) - length(ltrim(raw)) + length(trim(raw)) AS BIGINT) AS end_char, trim(raw) AS line_text FROM p WHERE trim(raw) <> ''"""
+    rf"""WITH l AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_LINE}')) AS raw, generate_subscripts(regexp_extract_all(text, '{_LINE}'), 1) AS i FROM documents),
+p AS (SELECT *, regexp_replace(raw, '{_BREAK}', '') AS line_text, sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY i) - length(raw) AS b FROM l)
+SELECT doc_id, CAST(i AS BIGINT) AS line_no, CAST(b AS BIGINT) AS start_char, CAST(b + length(line_text) AS BIGINT) AS end_char, line_text FROM p WHERE regexp_matches(line_text, '[^\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{205F}}\x{{3000}}]')"""
 )
 def line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.line_spans(table(spark, sf_dir, "documents"), "doc_id")
@@ -228,7 +235,7 @@ lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id OR
 def _lexical(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     records = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.col("text").alias("search_text"))
-    return retrieval.top_k(retrieval.lexical_scores(queries, records, {"search_text": retrieval.FIELD_WEIGHTS["search_text"]}), k, "score", "record_id")
+    return retrieval.lexical_topk(queries, records, k, {"search_text": retrieval.FIELD_WEIGHTS["search_text"]})
 
 
 @registered(f"WITH {_LEXICAL} SELECT query_id, rank, record_id, score FROM lexical")
@@ -244,7 +251,7 @@ def _semantic(spark: SparkSession, sf_dir: str, filters: dict | None = None) ->
 
 _SEMANTIC = """SELECT query_id, rank, vec_id FROM (
   SELECT q.vec_id AS query_id, v.vec_id AS vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY
-    list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) * list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) DESC, v.vec_id) AS rank
+    round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) * list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 12) DESC, v.vec_id) AS rank
   FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0{}) WHERE rank <= 10"""
 
 
@@ -260,7 +267,7 @@ def semantic_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     f"""WITH {_LEXICAL},
-sem AS (SELECT * FROM (SELECT q.item_id AS query_id, v.vec_id AS record_id, list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) * list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) AS similarity
+sem AS (SELECT * FROM (SELECT q.item_id AS query_id, v.vec_id AS record_id, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) * list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))), 12) AS similarity
   FROM benchmark q JOIN embeddings e ON e.vec_id = q.item_id, embeddings v) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, record_id) <= 10),
 l AS (SELECT query_id, record_id, score / max(score) OVER (PARTITION BY query_id) AS ln FROM lexical),
 s AS (SELECT query_id, record_id, CASE WHEN max(similarity) OVER (PARTITION BY query_id) > 0 THEN similarity / max(similarity) OVER (PARTITION BY query_id) ELSE 0 END AS sn FROM sem),
@@ -367,7 +374,10 @@ def suppress_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.suppress_contained(_mentions(spark, sf_dir), ["doc_id"])
 
 
-@registered(f"WITH {_MENTIONS} SELECT a.doc_id, a.term AS term_a, a.start_char AS start_char_a, b.term AS term_b, b.start_char AS start_char_b FROM mentions a JOIN mentions b ON a.doc_id = b.doc_id AND a.start_char < b.end_char AND b.start_char < a.end_char AND a.entity_type < b.entity_type")
+@registered(
+    f"""WITH {_MENTIONS}, cells AS (SELECT DISTINCT doc_id, term, entity_type, start_char, end_char, unnest(range(start_char // 16, (end_char - 1) // 16 + 1)) AS cell FROM mentions)
+SELECT DISTINCT a.doc_id, a.term AS term_a, a.start_char AS start_char_a, b.term AS term_b, b.start_char AS start_char_b FROM cells a JOIN cells b ON a.doc_id = b.doc_id AND a.cell = b.cell AND a.start_char < b.end_char AND b.start_char < a.end_char AND a.entity_type < b.entity_type"""
+)
 def interval_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.overlap_pairs(_mentions(spark, sf_dir), "doc_id").select("doc_id", "term_a", "start_char_a", "term_b", "start_char_b")
 
@@ -447,20 +457,28 @@ def precision_recall_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("true_positive", "false_positive", "false_negative")
 
 
-#: Expected: documents that hold an item's first sixty characters.
-_EXPECTED = "expected AS (SELECT item_id AS query_id, doc_id AS record_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 60)))"
+#: Expected: documents that hold an item's whole text.
+_EXPECTED = "expected AS (SELECT item_id AS query_id, doc_id AS record_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> '')"
+#: Most characters of phrases that one pass over the documents looks for.
+PASS_CHARS = 4 << 20
+
+
+def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, record_id of documents that hold an item's whole text; items are a stated set, taken in passes of bounded size."""
+    docs, out, held, size = table(spark, sf_dir, "documents"), None, [], 0
+    for row in [*table(spark, sf_dir, "benchmark").select("item_id", "text").toLocalIterator(), None]:
+        if row and row.text:
+            held.append((row.item_id, row.text))
+            size += len(row.text)
+        if held and size >= PASS_CHARS or row is None:
+            own = contained(docs, "doc_id", held).select(F.col("phrase_id").alias("query_id"), F.col("doc_id").alias("record_id"))
+            out, held, size = own if out is None else out.unionByName(own), [], 0
+    return out.distinct()
 
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("head"))
-    terms = queries.select("query_id", "head", tx.longest_inner_token(F.col("head")).alias("term"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), "text")
-    by_term = docs.withColumn("term", F.explode(F.array_distinct(tx.search_tokens(F.col("text")))))
-    expected = by_term.join(terms.where("term is not null"), "term").where(F.contains("text", F.col("head"))).select("query_id", "record_id")
-    # A head without a whole token inside says nothing of the tokens of texts that hold it: these few are asked of all texts.
-    others = terms.where("term is null and head is not null").select("query_id", "head")
-    expected = expected.unionByName(docs.join(others, F.contains("text", F.col("head"))).select("query_id", "record_id"))
-    return evaluation.per_query(queries, _lexical(spark, sf_dir), expected)
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    return evaluation.per_query(queries, _lexical(spark, sf_dir), _expected(spark, sf_dir))
 
 
 @registered(
@@ -553,11 +571,17 @@ def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    f"""SELECT doc_id, words, symbols, CASE WHEN trim(text) = '' THEN 'empty' WHEN regexp_matches(trim(text), '^[0-9]+[.)]?$') THEN 'numbering_only' WHEN words < 3 THEN 'too_short' WHEN symbols * 10 > length(text) THEN 'symbols' WHEN contains(text, chr(65533)) THEN 'broken_characters' ELSE 'clean' END AS status
-FROM (SELECT doc_id, text, len({_TOKENS % 'text'}) AS words, length(text) - length(translate(text, '#*$%&|<>', '')) AS symbols FROM documents)"""
+    r"""WITH t AS (SELECT doc_id, n, regexp_extract_all(n, '[\x{0B80}-\x{0BFF}0-9A-Za-z]+') AS k, length(n) - length(regexp_replace(n, '[A-Za-z]', '', 'g')) AS letters
+  FROM (SELECT doc_id, trim(regexp_replace(nfc_normalize(text), '[\s\x0B\x{85}\x{A0}\x{2028}\x{2029}]+', ' ', 'g')) AS n FROM documents))
+SELECT doc_id, len(k) AS token_count, letters AS script_chars, CASE WHEN w IS NULL THEN 'keep' ELSE 'reject' END AS status, coalesce(w, CASE WHEN len(k) = 1 THEN 'short_but_valid_single_token' WHEN len(k) <= 2 THEN 'very_short_span' ELSE 'clean' END) AS flag
+FROM (SELECT *, CASE WHEN n = '' THEN 'empty' WHEN regexp_full_match(n, '[\s,.;:!?()\[\]{}"\x27“”‘’\-–—/\\|]+') THEN 'punctuation_only' WHEN len(k) > 0 AND len(list_filter(k, lambda x: NOT regexp_full_match(x, '[0-9]+'))) = 0 THEN 'numeric_only'
+  WHEN letters = 0 THEN 'no_tamil_text' WHEN letters < 2 THEN 'too_few_tamil_chars' END AS w FROM t)"""
 )
 def text_quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tx.text_quality(F.col("text")).alias("q")).select("doc_id", "q.words", "q.symbols", "q.status")
+    """The quality rules with Latin letters for the corpus's script."""
+    latin = lambda text: F.regexp_count(text, F.lit("[A-Za-z]"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", tx.text_quality(F.col("text"), script=latin).alias("q"))
+    return rows.select("doc_id", "q.token_count", "q.script_chars", "q.status", F.col("q.flags")[0].alias("flag"))
 
 
 @registered("SELECT doc_id, (contains(text, 'the') OR contains(text, 'les')) AND (contains(text, 'and') OR contains(text, 'et')) AS held FROM documents")
@@ -636,10 +660,9 @@ def audit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(audit.issues(table(spark, sf_dir, "lineitem"), "l_orderkey", rules))
 
 
-@registered("SELECT term, count(*) AS n FROM (SELECT item_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]), list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]))) AS term FROM (SELECT item_id, %s AS t FROM benchmark)) GROUP BY term" % (_TOKENS % "text"))
+@registered("SELECT term, count(*) AS n FROM (SELECT doc_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]), list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]))) AS term FROM (SELECT doc_id, %s AS t FROM documents)) GROUP BY term" % (_TOKENS % "text"))
 def word_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select(tx.search_tokens(F.col("text")).alias("t"))
-    return rows.select(F.explode(tx.word_ngrams(F.col("t"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return spans.word_counts(table(spark, sf_dir, "documents"), tx.search_tokens(F.col("text")))
 
 
 @registered(r"SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<script')) AS BIGINT) AS scripts, CAST(len(regexp_extract_all(html, '(?i)<a\s')) AS BIGINT) AS links, CAST(len(regexp_extract_all(html, '(?i)<p[\s>]')) AS BIGINT) AS paragraphs FROM pages")
@@ -663,14 +686,26 @@ def many_owner_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_suppkey", "l_partkey").agg(F.count_distinct("l_orderkey").alias("owners")).where("owners > 1")
 
 
-@registered("SELECT a.conv_id, a.turn, CASE WHEN instr(a.text, left(b.text, 5)) > 0 THEN instr(a.text, left(b.text, 5)) - 1 ELSE -1 END AS at FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE instr(a.text, left(b.text, 5)) > 0")
+_TRIM = r"regexp_replace(trim(regexp_replace(replace(nfc_normalize(%s), chr(160), ' '), '\s+', ' ', 'g')), '^[ \t\r\n,.;:!?\-–—\x27\x22“”‘’]+|[ \t\r\n,.;:!?\-–—\x27\x22“”‘’]+$', '', 'g')"
+
+
+@registered(
+    rf"""WITH p AS (SELECT doc_id, text, source, lang, {_TRIM % "list_extract(regexp_extract_all(text, '[^.!?।;,]+'), 2)"} AS phrase FROM documents)
+SELECT doc_id, instr(text, phrase) - 1 AS start_char, instr(text, phrase) - 1 + length(phrase) AS end_char, 'exact' AS method FROM p WHERE phrase <> '' AND contains(text, phrase)"""
+)
 def exact_phrase_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpusloom.functions.find import find_exact
+    """Each document's second clause, whole, found in its text as it stands; clauses that run over a line break are found loosely only."""
+    clause = F.get(F.regexp_extract_all("text", F.lit(r"[^.!?।;,]+"), F.lit(0)), F.lit(1))
+    rows = table(spark, sf_dir, "documents").withColumn("span", find_exact("text", clause)).where("span.method = 'exact'")
+    return rows.select("doc_id", F.col("span.start").cast("bigint").alias("start_char"), F.col("span.end").cast("bigint").alias("end_char"), F.col("span.method").alias("method"))
 
-    turns = table(spark, sf_dir, "conversations")
-    rows = turns.withColumn("phrase", F.substring(F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")), 1, 5)).where("phrase is not null")
-    rows = rows.withColumn("span", find_exact("text", "phrase")).where("span.method = 'exact'")
-    return rows.select("conv_id", "turn", F.col("span.start").cast("bigint").alias("at"))
+
+@registered(None)
+def phrase_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's second clause as it is found in its text by any of the methods; held against brute force in the tests."""
+    clause = F.get(F.regexp_extract_all("text", F.lit(r"[^.!?।;,]+"), F.lit(0)), F.lit(1))
+    rows = table(spark, sf_dir, "documents").withColumn("span", find_exact("text", clause)).where("span is not null")
+    return rows.select("doc_id", F.col("span.start").cast("bigint").alias("start_char"), F.col("span.end").cast("bigint").alias("end_char"), F.col("span.method").alias("method"))
 
 
 @registered("SELECT lang, count(*) AS n, min(n_chars) AS low, max(n_chars) AS high, CAST(sum(n_chars) AS BIGINT) AS total FROM documents GROUP BY lang")
