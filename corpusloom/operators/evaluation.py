@@ -57,13 +57,22 @@ PART_CAPS = {"rule": 0.35, "anchor": 0.25, "source_token": 0.15, "target_token":
 LEAST_TOKEN_COUNT = 3
 
 
+def _tagged(parts: dict[str, Column], sequence: Column) -> Column:
+    """All features as struct(part, feature)."""
+
+    def under(part: str):
+        return lambda x: F.struct(F.lit(part).alias("part"), x.alias("feature"))
+
+    return F.flatten(F.array(*[F.transform(F.array_distinct(f), under(p)) for p, f in [*parts.items(), ("sequence", F.array(sequence))]]))
+
+
 def pattern_scores(rows: DataFrame, key: str, relation: str, parts: dict[str, Column], learned: DataFrame, sequence: Column, signal: Column) -> DataFrame:
     """key, learned_<part>_score, learned_sequence_score, existing_semantic_signal, learned_pattern_score, evidence.
 
     parts: arrays of features by part (PART_CAPS). learned: relation, part, feature, n, with sequence methods as a part of that name.
     Each part is min(cap, sum of ln(1 + n) / 35) over its features; tokens count from LEAST_TOKEN_COUNT on. signal: the sum of semantic features.
     """
-    each = F.flatten(F.array(*[F.transform(F.array_distinct(f), lambda x, p=p: F.struct(F.lit(p).alias("part"), x.alias("feature"))) for p, f in [*parts.items(), ("sequence", F.array(sequence))]]))
+    each = _tagged(parts, sequence)
     own = rows.select(key, F.col(relation).alias("relation"), F.inline(each))
     hits = own.join(learned, ["relation", "part", "feature"]).where(~F.col("part").endswith("_token") | (F.col("n") >= LEAST_TOKEN_COUNT))
     sums = hits.groupBy(key).agg(
@@ -83,7 +92,7 @@ def pattern_scores(rows: DataFrame, key: str, relation: str, parts: dict[str, Co
 
 def learned_parts(rows: DataFrame, relation: str, parts: dict[str, Column], sequence: Column) -> DataFrame:
     """relation, part, feature, n: what `pattern_scores` takes, learned from rows that are examples."""
-    each = F.flatten(F.array(*[F.transform(F.array_distinct(f), lambda x, p=p: F.struct(F.lit(p).alias("part"), x.alias("feature"))) for p, f in [*parts.items(), ("sequence", F.array(sequence))]]))
+    each = _tagged(parts, sequence)
     return rows.select(F.col(relation).alias("relation"), F.inline(each)).groupBy("relation", "part", "feature").agg(F.count("*").alias("n"))
 
 

@@ -5,6 +5,8 @@ Everything is expressions over a table of links; rule packs are small tables or
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,6 @@ CANDIDATE_WEIGHTS = {"token_score": 0.22, "char_score": 0.15, "synonym_score": 0
 #: Least scores that are strong evidence; fixed values
 STRONG = {"token_score": 0.18, "synonym_score": 0.5, "entity_score": 0.5, "containment_score": 0.45}
 CONFIDENCE = ("high", "medium", "low", "none", "no_link")
-#: Features that carry a link whatever its place in the order; fixed values
-SUPPORT = ("semantic_lexicon_score", "morphology_stem_score", "shared_entity_anchor_score", "ontology_relation_score", "relationship_cue_score", "neighbor_anchor_score")
 #: Terms of the auto-hardened score, its bonuses by family of relation, and its penalties by issue; fixed values
 V5_WEIGHTS = {"score": 0.30, "learned_pattern_score": 0.18, "paraphrase_score": 0.16, "anchor_resolver_score": 0.14, "polysemy_safety_score": 0.12, "ontology_relation_score": 0.08, "relationship_cue_score": 0.06}
 V5_FAMILY = {"image_family": 0.05, "theology_family": 0.04, "entity_family": 0.03, "phrase_family": 0.02}
@@ -88,65 +88,79 @@ def confidence(has_target: Column | None = None) -> Column:
     return out if has_target is None else F.when(has_target, out).otherwise("none")
 
 
-def diagnostic(level: Column) -> Column:
-    """Label of a link by its confidence and, for weak ones, by what it lacks."""
+def diagnostic(level: Column, bonus: Column | None = None) -> Column:
+    """Label of a link by its confidence and, for weak ones, by what they lack: order alone, a margin (or an alignment's bonus), vocabulary, a shared entity."""
+    surface = F.greatest(*[F.col(c) for c in ("token_score", "char_score", "synonym_score", "entity_score", "containment_score")])
+    bonus = F.lit(0.0) if bonus is None else F.coalesce(bonus, F.lit(0.0))
     return (
-        F.when(level == "none", "missing_target").when(level == "high", "strong_link").when(level == "medium", "usable_review")
-        .when((F.col("token_score") == 0) & (F.col("char_score") < 0.1), "no_surface_overlap").when(F.col("score_margin") < 0.03, "ambiguous_target").otherwise("weak_link")
+        F.when(level == "none", "missing_pozhippurai").when(level == "high", "strong_link").when(level == "medium", "usable_review")
+        .when((surface == 0) & (F.col("order_score") > 0), "order_only_weak_match").when((F.col("score_margin") < 0.03) & (bonus < 0.08), "ambiguous_multiple_targets")
+        .when((F.col("token_score") == 0) & (F.col("synonym_score") == 0) & (F.col("containment_score") < 0.15), "low_lexical_overlap")
+        .when(F.col("entity_score") == 0, "no_shared_entity_anchor").otherwise("weak_similarity")
     )
 
 
-def best_links(candidates: DataFrame, *line: str) -> DataFrame:
-    """The best window of each line with its confidence and diagnostic label."""
-    rows = ranked(candidates, *line).where("rank = 1").withColumn("confidence", confidence())
-    return rows.withColumn("diagnostic", diagnostic(F.col("confidence")))
+#: What a diagnostic label says; fixed values
+PROBLEM_REASONS = {
+    "strong_link": "High-confidence link with strong lexical/entity/containment evidence.",
+    "usable_review": "Medium-confidence link; likely useful but should be sampled before scholarly use.",
+    "missing_pozhippurai": "The commentary row has no pozhppurai text.",
+    "order_only_weak_match": "The selected target is mainly supported by poem/commentary order, with little lexical or entity evidence.",
+    "ambiguous_multiple_targets": "The best target is close to the second-best target, so several pozhppurai spans may be plausible.",
+    "low_lexical_overlap": "The paadal line and selected pozhppurai target share little surface vocabulary.",
+    "no_shared_entity_anchor": "No accepted Entity v2 anchor overlaps both source and target spans.",
+    "weak_similarity": "The link has only weak combined similarity evidence.",
+}
 
 
-def lexicon_score(pairs: DataFrame, key: str, lexicon: DataFrame, bias: float = 0.05) -> DataFrame:
-    """key, score, rules: min(1, sum of weights of rules whose source form is in the source and target form in the target, + bias).
+def problem_reason(label: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in PROBLEM_REASONS.items() for x in pair]), label), F.lit("Unclassified diagnostic category."))
 
-    lexicon: rule_id, source_form, target_form, weight; a rule pack, broadcast only if Spark finds it small.
-    """
-    hits = pairs.join(lexicon, F.contains("source_text", F.col("source_form")) & F.contains("target_text", F.col("target_form")))
-    found = hits.groupBy(key).agg(F.sum("weight").alias("w"), F.array_sort(F.collect_set("rule_id")).alias("rules"))
-    return pairs.select(key).join(found, key, "left").select(key, F.when(F.col("w").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.col("w") + bias)).alias("score"), F.coalesce("rules", F.array().cast("array<string>")).alias("rules"))
 
+#: Words that show a relation, and entity types whose mention describes an entity; fixed values
+THEOLOGY_HINTS = ("அருள்", "தொழு", "தொழுது", "வணங்கு", "பணி", "பணிந்து", "தவம்", "வினை", "பதி", "பாசம்", "மலம்", "ஞானம்", "முத்தி")
+IMAGE_HINTS = ("மதி", "பிறை", "கங்கை", "சடை", "நீறு", "விடை", "பாம்பு", "அரவு", "கொன்றை", "மழு", "கடல்", "புனல்", "மலர்")
+DESCRIBING_TYPES = ("DEITY", "BODY_PART", "SACRED_OBJECT", "TEMPLE")
 
-def anchor_score(a: Column, b: Column) -> Column:
-    """.35 + .15 for each shared anchor; else .2 + .08 for each shared family (what is before the first `:`), up to .45."""
-    shared = F.size(F.array_intersect(a, b))
-    family = lambda x: F.array_distinct(F.transform(x, lambda v: F.substring_index(v, ":", 1)))
-    families = F.size(F.array_intersect(family(a), family(b)))
-    return F.when(shared > 0, F.least(F.lit(1.0), 0.35 + 0.15 * shared)).when(families > 0, F.least(F.lit(0.45), 0.2 + 0.08 * families)).otherwise(0.0)
 
+def relation_of(joined: Column, votes: Column, types: Column, tokens: Column, theology: tuple[str, ...] = THEOLOGY_HINTS, image: tuple[str, ...] = IMAGE_HINTS) -> Column:
+    """Relation of a line to its target: the seed patterns' vote, else by hints, entity types and the line's number of tokens.
+
+    votes: the winner of the seed patterns' votes, null without any. types: entity types that the line mentions.
+    """
+    held = lambda words: reduce(lambda a, b: a | b, [F.contains(joined, F.lit(w)) for w in words], F.lit(False))
+    ruled = (
+        F.when(held(theology), "theological_explanation").when(F.arrays_overlap(types, F.array(*map(F.lit, DESCRIBING_TYPES))), "describes_entity").when(held(image), "interprets_image")
+        .when(tokens <= 3, "glosses_word").when(tokens >= 7, "explains_line").otherwise("explains_phrase")
+    )
+    return F.coalesce(votes, ruled)
 
-def granularity_score(source_tokens: Column, target_tokens: Column) -> Column:
-    """Step function of the ratio of token counts."""
-    ratio = target_tokens / F.greatest(F.lit(1), source_tokens)
-    return F.when(ratio <= 1.5, 1.0).when(ratio <= 2.5, 0.8).when(ratio <= 3.5, 0.6).when(ratio <= 5, 0.4).otherwise(0.2)
 
+def seed_votes(rows: DataFrame, key: str, tokens: Column, patterns: DataFrame) -> DataFrame:
+    """key, vote: the relation with most votes of a row's tokens, ties by the token that came first. patterns: token, relation, n."""
+    own = rows.select(key, F.posexplode(tokens).alias("at", "token")).join(F.broadcast(patterns) if patterns.count() < 100_000 else patterns, "token")
+    votes = own.groupBy(key, "relation").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
+    return votes.groupBy(key).agg(F.max_by("relation", F.struct("n", -F.col("at"))).alias("vote"))
 
-def penalties(margin: Column, ambiguous: Column, broad: Column, order_note: Column) -> tuple[Column, Column]:
-    """Names of penalties and of critical warnings, by rule."""
-    support = sum((F.col(c) for c in SUPPORT), F.lit(0.0))
-    order_only = (support < 0.2) & order_note
-    close = ambiguous & (margin < 0.08)
-    unanchored = (F.col("shared_entity_anchor_score") == 0) & (F.col("ontology_relation_score") == 0)
-    named = F.array(F.when(order_only, "order_only_penalty"), F.when(close, "ambiguous_margin_penalty"), F.when(unanchored, "missing_entity_anchor_penalty"), F.when(broad, "target_too_broad_penalty"))
-    critical = F.array(F.when(order_only, "order_only_support"), F.when(close & (margin < 0.05), "best_second_margin_below_review_threshold"))
-    return F.array_compact(named), F.array_compact(critical)
 
+def best_links(candidates: DataFrame, *line: str) -> DataFrame:
+    """The best window of each line with its confidence and diagnostic label."""
+    rows = ranked(candidates, *line).where("rank = 1").withColumn("confidence", confidence())
+    return rows.withColumn("diagnostic", diagnostic(F.col("confidence")))
 
-def hardened_confidence(score: Column, named: Column, critical: Column, support: Column) -> Column:
-    """Tier of a hardened score: high needs support and no critical warning, and ambiguity caps it at medium."""
-    level = F.when((score >= 0.78) & (F.size(critical) == 0) & (support >= 0.35), "high").when(score >= 0.5, "medium").otherwise("low")
-    return F.when((level == "high") & F.array_contains(named, "ambiguous_margin_penalty"), "medium").otherwise(level)
+
+def anchor_score(a: Column, b: Column) -> Column:
+    """.35 + .15 for each shared anchor; else .2 + .08 for each shared family (what is before the first `.`), up to .45."""
+    shared = F.size(F.array_intersect(a, b))
+    family = lambda x: F.array_distinct(F.transform(x, lambda v: F.substring_index(v, ".", 1)))
+    families = F.size(F.array_intersect(family(a), family(b)))
+    return F.when(shared > 0, F.least(F.lit(1.0), 0.35 + 0.15 * shared)).when(families > 0, F.least(F.lit(0.45), 0.2 + 0.08 * families)).otherwise(0.0)
 
 
-def blocker_score(base: Column, evidence: Column, granularity: Column, named: Column) -> Column:
-    """.78 base + .14 evidence + .08 granularity - .06 for each penalty, and .05 more for a target that is too broad."""
-    weight = 0.06 * F.size(named) + F.when(F.array_contains(named, "target_too_broad_penalty"), 0.05).otherwise(0.0)
-    return F.bround(_clamp(0.78 * base + 0.14 * evidence + 0.08 * granularity - weight), 4)
+def granularity_score(source_tokens: Column, target_tokens: Column, relation: Column) -> Column:
+    """How well a target's size fits: by the ratio of token counts, and more leniently where a whole line is explained."""
+    ratio = F.greatest(F.lit(1), target_tokens) / F.greatest(F.lit(1), source_tokens)
+    return F.when(relation == "explains_line", F.when(ratio <= 8, 0.8).otherwise(0.5)).when(ratio <= 2.5, 1.0).when(ratio <= 4, 0.6).otherwise(0.25)
 
 
 def v5_score(family: Column, margin: Column, issues: Column) -> Column:

@@ -104,9 +104,6 @@ def test_linking(spark):
     records = spark.createDataFrame([("r", "red moon\nblue sun", "the red moon rises; a blue sun sets")], "record_id string, verse string, reply string")
     best = {r.line_no: r for r in linking.best_links(linking.candidate_features(records, "record_id", "verse", "reply"), "record_id", "line_no").collect()}
     assert best[1].target_text.startswith("the red moon") and best[2].target_text.endswith("blue sun sets") and best[1].candidate_count == 3
-    lexicon = spark.createDataFrame([("r1", "moon", "moon", 0.4), ("r2", "sun", "sun", 0.9)], "rule_id string, source_form string, target_form string, weight double")
-    pairs = spark.createDataFrame([(1, "moon", "a moon"), (2, "x", "y")], "id int, source_text string, target_text string")
-    assert {r.id: (round(r.score, 2), r.rules) for r in linking.lexicon_score(pairs, "id", lexicon).collect()} == {1: (0.45, ["r1"]), 2: (0.0, [])}
     links = spark.createDataFrame([("k", "a", "low", 0.9), ("k", "b", "high", 0.1)], "key string, link_id string, confidence string, score double")
     assert linking.dedupe(links, ["key"], "link_id").first().link_id == "b"
 
