@@ -95,10 +95,11 @@ def overlaps_any(links: DataFrame, others: DataFrame) -> DataFrame:
     """links with split_parent: whether a link of others has characters of its source; both sorted by passage and start, a running maximum each way."""
     own = links.select("link_id", "passage_id", F.col("source_start_char").alias("a"), F.col("source_end_char").alias("b"), F.lit(0).alias("other"))
     both = own.unionByName(others.select(F.lit(None).cast("string").alias("link_id"), "passage_id", F.col("source_start_char").alias("a"), F.col("source_end_char").alias("b"), F.lit(1).alias("other")))
-    before = Window.partitionBy("passage_id").orderBy("a", F.desc("other"), "b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy("passage_id").orderBy("a", F.desc("other"), "b").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    reached = F.max(F.when(F.col("other") == 1, F.col("b"))).over(before)
-    comes = F.min(F.when((F.col("other") == 1) & (F.col("b") > F.col("a")), F.col("a"))).over(after)
+    # At one place, empty own spans stand before the others and longer ones after them.
+    place = F.when(F.col("other") == 1, 1).when(F.col("a") == F.col("b"), 0).otherwise(2)
+    order = Window.partitionBy("passage_id").orderBy("a", place, "b")
+    reached = F.max(F.when(F.col("other") == 1, F.col("b"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    comes = F.min(F.when(F.col("other") == 1, F.col("a"))).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     hit = both.withColumn("split_parent", F.coalesce(reached > F.col("a"), F.lit(False)) | F.coalesce(comes < F.col("b"), F.lit(False))).where("other = 0")
     flags = hit.groupBy("link_id").agg(F.max("split_parent").alias("split_parent"))
     return links.join(flags, "link_id", "left").withColumn("split_parent", F.coalesce("split_parent", F.lit(False)))

@@ -38,7 +38,7 @@ def evidence_rows(links: DataFrame, passages: DataFrame) -> DataFrame:
 
 def corpus(evidence: DataFrame) -> DataFrame:
     """record_id, chunk_id, chunk_type, chunk_text and citation_text of every evidence row."""
-    record = F.concat(F.lit("saanrugraph_rag_"), "link_id")
+    record = F.concat(F.lit("evidence_rag_"), "link_id")
     text = F.concat(
         F.lit("Paadal span:\n"), "source_text", F.lit("\n\nPozhippurai explanation:\n"), "target_text", F.lit("\n\nFull Paadal:\n"), "full_paadal_text", F.lit("\n\nEvidence path:\n"), "evidence_path"
     )

@@ -519,7 +519,7 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PATH = "'Thirumurai ' || (conv_id % 9) || ' > Pathigam ' || conv_id || ' > Paadal ' || link_id || ' > source[' || a || ':' || b || '] > pozhippurai[' || coalesce(CAST(c AS VARCHAR), '') || ':' || coalesce(CAST(c + 5 AS VARCHAR), '') || ']'"
 
 
-@registered(f"""WITH {_LINKS} SELECT 'saanrugraph_rag_' || link_id AS record_id, {_PATH} AS citation_text, sha256('Paadal span:' || chr(10) || source_text || chr(10) || chr(10) || 'Pozhippurai explanation:' || chr(10) || target_text || chr(10) || chr(10) || 'Full Paadal:' || chr(10) || source_text || chr(10) || chr(10) || 'Evidence path:' || chr(10) || {_PATH}) AS chunk_sha256
+@registered(f"""WITH {_LINKS} SELECT 'evidence_rag_' || link_id AS record_id, {_PATH} AS citation_text, sha256('Paadal span:' || chr(10) || source_text || chr(10) || chr(10) || 'Pozhippurai explanation:' || chr(10) || target_text || chr(10) || chr(10) || 'Full Paadal:' || chr(10) || source_text || chr(10) || chr(10) || 'Evidence path:' || chr(10) || {_PATH}) AS chunk_sha256
 FROM p WHERE confidence = 'high' AND NOT review AND relationship_type <> 'unlinked'""")
 def evidence_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus records of high links, their chunk texts by digest."""
