@@ -70,11 +70,16 @@ def citation_problems(rows: DataFrame, key: str, required: list[str], rank: str,
     return rows.select(key, problems.alias("problems")).where(F.size("problems") > 0)
 
 
+def digest_of(rows: DataFrame) -> Column:
+    """An aggregate that names a table's rows whatever their order, repeated ones too."""
+    return F.coalesce(F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)")), F.lit(0)).cast("string")
+
+
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:
     """name, rows, checksum of tables; the checksum does not depend on the order of rows."""
     out = None
     for name, rows in tables.items():
-        own = rows.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.hex(F.bit_xor(F.xxhash64(*sorted(rows.columns)))).alias("checksum"))
+        own = rows.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), digest_of(rows).alias("checksum"))
         out = own if out is None else out.unionByName(own)
     return out
 

@@ -626,7 +626,24 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.candidate_features(records, "record_id", "verse", "pozhppurai")
 
 
-@registered(None)
+_GRAMS3 = "list_distinct(CASE WHEN length({0}) <= 3 THEN [{0}] ELSE list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3)) END)"
+_JACCARD = "CASE WHEN len({0}) = 0 OR len({1}) = 0 THEN 0 ELSE len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) END"
+
+
+@registered(
+    rf"""WITH {_RECORDS}, {_SEGMENTS.replace("documents", "r WHERE pozhppurai <> ''").replace("doc_id", "record_id").replace("text,", "pozhppurai,")},
+w AS (SELECT record_id, segment_no, start_char, k + 1 AS window_size, CASE k WHEN 0 THEN segment_no WHEN 1 THEN lead(segment_no, 1) OVER o ELSE lead(segment_no, 2) OVER o END AS segment_end_no,
+  CASE k WHEN 0 THEN end_char WHEN 1 THEN lead(end_char, 1) OVER o ELSE lead(end_char, 2) OVER o END AS end_char FROM s, (VALUES (0), (1), (2)) v(k) WINDOW o AS (PARTITION BY record_id, k ORDER BY segment_no)),
+x AS (SELECT w.*, verse, substr(pozhppurai, start_char + 1, end_char - start_char) AS target, list_distinct({_TOKENS % "verse"}) AS a, regexp_replace(verse, '\s+', '', 'g') AS vc FROM w JOIN r USING (record_id) WHERE segment_end_no IS NOT NULL AND verse <> ''),
+y AS (SELECT *, list_distinct({_TOKENS % "target"}) AS b, regexp_replace(target, '\s+', '', 'g') AS tc FROM x), z AS (SELECT *, {_GRAMS3.format("vc")} AS c, {_GRAMS3.format("tc")} AS d FROM y),
+f AS (SELECT *, {_JACCARD.format("a", "b")} AS token_score, {_JACCARD.format("c", "d")} AS char_score, CASE WHEN contains(tc, vc) THEN 1.0 WHEN len(a) = 0 THEN 0 ELSE len(list_filter(a, lambda t: contains(target, t))) / len(a) END AS containment FROM z),
+g AS (SELECT *, round_even(CAST(0.22 AS DOUBLE) * token_score + CAST(0.15 AS DOUBLE) * char_score + CAST(0.15 AS DOUBLE) * containment + CAST(0.12 AS DOUBLE), 4) AS score FROM f),
+h AS (SELECT *, row_number() OVER q AS nth, lead(score) OVER q AS second, count(*) OVER (PARTITION BY record_id) AS candidate_count FROM g WINDOW q AS (PARTITION BY record_id ORDER BY score DESC, window_size, segment_no)),
+m AS (SELECT *, CAST(round_even(score - coalesce(second, 0), 4) AS DOUBLE) AS score_margin, token_score >= 0.18 OR containment >= 0.45 AS strong FROM h WHERE nth = 1),
+n AS (SELECT *, CASE WHEN score >= 0.52 AND strong THEN 'high' WHEN score >= 0.32 OR (score >= 0.27 AND strong) THEN 'medium' ELSE 'low' END AS confidence FROM m)
+SELECT record_id, 1 AS line_no, segment_no, segment_end_no, CAST(score AS DOUBLE) AS score, score_margin, candidate_count, confidence, CASE confidence WHEN 'high' THEN 'strong_link' WHEN 'medium' THEN 'usable_review' ELSE
+  CASE WHEN greatest(token_score, char_score, containment) = 0 THEN 'order_only_weak_match' WHEN score_margin < 0.03 THEN 'ambiguous_multiple_targets' WHEN token_score = 0 AND containment < 0.15 THEN 'low_lexical_overlap' ELSE 'no_shared_entity_anchor' END END AS diagnostic FROM n"""
+)
 def link_best_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linking.best_links(_links(spark, sf_dir), "record_id", "line_no")
     return out.select("record_id", "line_no", "segment_no", "segment_end_no", "score", "score_margin", "candidate_count", "confidence", "diagnostic")

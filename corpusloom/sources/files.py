@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corpusloom.operators.records import digest_of
+
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType | str | None = None, limit: int | None = None) -> DataFrame:
     """JSON lines; a schema makes the scan one pass. A row that can't be read is null in all but `_corrupt_record`, if the schema has that."""
@@ -78,7 +80,7 @@ def write_delimited(rows: DataFrame, path: str, sep: str = ",", mode: str = "err
 
 def content_digest(rows: DataFrame) -> DataFrame:
     """rows, checksum: a digest of a table that does not depend on the order of its rows."""
-    return rows.agg(F.count("*").alias("rows"), F.hex(F.bit_xor(F.xxhash64(*sorted(rows.columns)))).alias("checksum"))
+    return rows.agg(F.count("*").alias("rows"), digest_of(rows).alias("checksum"))
 
 
 def write_once(rows: DataFrame, path: str) -> str:

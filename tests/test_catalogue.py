@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from corpusloom.operators import alignment, retrieval
-from corpusloom.plans import links_catalogue  # noqa: F401  registers its queries
+from corpusloom.plans import links_catalogue, more_catalogue  # noqa: F401  they register their queries
 from corpusloom.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
