@@ -8,12 +8,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Rows that are held before they are handed on.
-FLUSH = 50_000
+#: Rows that are held before they are handed on, and most bytes of an Arrow batch.
+FLUSH, BATCH_BYTES = 50_000, 4 << 20
+_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of the session at BATCH_BYTES at most: a batch of long texts else holds tens of megabytes, several times over, in the JVM and in each worker."""
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BYTES_KEY))
+    if int(now) > BATCH_BYTES:
+        spark.conf.set(_BYTES_KEY, str(BATCH_BYTES))
 
 
 def generated(rows: DataFrame, keep: Sequence[str], inputs: Sequence[str], schema: str, make: Callable[[], Callable]) -> DataFrame:
@@ -21,6 +29,7 @@ def generated(rows: DataFrame, keep: Sequence[str], inputs: Sequence[str], schem
 
     make is called once a task, so that what it builds is built once. A row without tuples has no result rows.
     """
+    bounded_batches(rows.sparkSession)
     out = T.StructType.fromDDL(schema)
     names, types = [f.name for f in out], [to_arrow_type(f.dataType) for f in out]
     whole = T.StructType([*[rows.schema[c] for c in keep], *out.fields])

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.functions import text as tx
+from corpusloom.functions.generate import bounded_batches
 
 #: Weight of a query token found in a field, most telling first; fixed values
 FIELD_WEIGHTS = {"verse": 700, "pozhppurai": 600, "kurippurai": 500, "search_text": 400, "metadata": 300}
@@ -76,6 +77,7 @@ def lexical_topk(queries: DataFrame, records: DataFrame, k: int, weights: dict[s
     queries: query_id, query; a stated set, read in passes of bounded size. records: record_id and the fields. A record is scored
     where it is read, and a task hands on its k best of each query only, so a term that all records have costs no shuffle.
     """
+    bounded_batches(records.sparkSession)
     fields, points = list(weights), list(weights.values())
     tokens = records.select("record_id", *[F.array_distinct(tx.search_tokens(F.col(f))).alias(f) for f in fields])
     query_kind, record_kind = queries.schema["query_id"].dataType, records.schema["record_id"].dataType
@@ -220,6 +222,7 @@ def semantic_search(queries: DataFrame, vectors: DataFrame, k: int = 10, filters
     queries (query_id, query_vector) are a stated set, held in passes of bounded size against all vectors that pass the filters:
     a matrix product for each block of vectors where it is read, of which a task hands on its k best of each query.
     """
+    bounded_batches(vectors.sparkSession)
     rows = vectors.where(passes_filters(filters or {})).where("vec_id is not null and embedding is not null").select("vec_id", "embedding")
     asked = queries.where("query_vector is not null").select("query_id", "query_vector")
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("vec_id", vectors.schema["vec_id"].dataType), T.StructField("similarity", T.DoubleType())])
