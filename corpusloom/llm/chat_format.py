@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.generate import bounded_batches
+
 PACK_CHARS = 1 << 18
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _HEAD, _END = "### ", "</turn>\n"
@@ -134,6 +136,7 @@ def _pack(batches: Iterator[pa.RecordBatch], limit: int, encode: Callable[[str],
 
 def packs(conversations: DataFrame, pack_chars: int = PACK_CHARS, encode: Callable[[str], list[int]] | None = None) -> DataFrame:
     """One row a pack: its nodes in depth-first order, and each conversation's intervals in the pack's text (or tokens)."""
+    bounded_batches(conversations.sparkSession)
     rows = conversation_paths(conversations)
     ordered = rows.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
     return ordered.select("conv_id", "turns", "path").mapInArrow(partial(_pack, limit=pack_chars, encode=encode), PACKS)

@@ -57,7 +57,7 @@ def semi_by_size(df: DataFrame, keys: DataFrame, on: str | dict[str, F.Column],
     names = {k: free_name(f"semi_{k}", df).lower() for k in on}
     key = keys.select(*[F.col(k).alias(n) for k, n in names.items()])
     same = [value.eqNullSafe(F.col(names[k])) for k, value in on.items()]
-    return df.join(by_size(key, 32 * len(on)), reduce(lambda a, b: a & b, same), how)
+    return df.join(by_size(key, 64 + 64 * len(on)), reduce(lambda a, b: a & b, same), how)
 
 
 def word_array(text) -> F.Column:

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions.generate import bounded_batches
 from corpusloom.llm.common import LOWER, checkpointed, free_name, text_slices
 from corpusloom.llm.fm_index import FMIndex
 
 WINDOW = 10
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_BYTES, AT_ONCE = 4 << 20, 2
 
 _TABLE = bytearray(LOWER.tobytes())
@@ -126,24 +127,39 @@ def phrase_blocks(benchmark: DataFrame, window: int, block_bytes: int = BLOCK_BY
         yield Phrases(held, window)
 
 
-def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
-    """documents with one more column, whose name comes second: struct(n_words, spans of words, item ids)."""
+def _with_last(items: Iterator) -> Iterator[tuple[object, bool]]:
+    """Each item with whether it is the last."""
+    held = next(items)
+    for item in items:
+        yield held, False
+        held = item
+    yield held, True
+
+
+def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, finish: Callable | None = None) -> tuple[DataFrame, str]:
+    """documents with one more column, whose name comes second: struct(n_words, spans of words, item ids).
+
+    finish: a function from (columns of documents, results) to the batch that the last block's pass hands on instead, with the
+    schema of documents, so that what follows needs no further worker.
+    """
     spark = documents.sparkSession
+    bounded_batches(spark)
     found = free_name("decontamination", documents)
     kind = T.StructType.fromDDL("n_words bigint, spans array<struct<start: bigint, end: bigint>>, items array<string>")
-    schema = T.StructType([*documents.schema.fields, T.StructField(found, kind)])
+    plain, schema = documents.schema, T.StructType([*documents.schema.fields, T.StructField(found, kind)])
     out_type = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
     at = documents.columns.index("text")
     live = []
-    for number, block in enumerate(phrase_blocks(benchmark, window, block_bytes)):
+    for number, (block, last) in enumerate(_with_last(phrase_blocks(benchmark, window, block_bytes))):
         if len(live) == AT_ONCE:
             documents = checkpointed(documents)
             while live:
                 live.pop().destroy()
         shared = spark.sparkContext.broadcast(block)
         live.append(shared)
+        done = finish if last else None
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], shared=shared, number=number, done=done) -> Iterator[pa.RecordBatch]:
             phrases = shared.value
             for batch in batches:
                 values = []
@@ -158,9 +174,9 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
                         both = merged([(s["start"], s["end"]) for s in old["spans"] + v["spans"]])
                         v |= {"spans": [{"start": a, "end": b} for a, b in both], "items": sorted({*old["items"], *v["items"]})}
                     columns = columns[:-1]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(values, out_type)], [f.name for f in schema.fields])
+                yield done(columns, values) if done else pa.RecordBatch.from_arrays([*columns, pa.array(values, out_type)], [f.name for f in schema.fields])
 
-        documents = documents.mapInArrow(search, schema)
+        documents = documents.mapInArrow(search, plain if done else schema)
     return documents, found
 
 
@@ -188,22 +204,19 @@ def cut_words(text: str, spans: list[dict]) -> str:
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """documents with the removal spans cut from their texts; those left without a word go. n_chars, if there, follows."""
-    columns, schema = documents.columns, documents.schema
-    found, name = hits(documents, benchmark, window, block_bytes)
-    at = columns.index("text")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            results, texts, stay = batch.column(len(columns)).to_pylist(), batch.column(at), []
-            kept = [*batch.columns[:-1]]
-            if any(r["spans"] for r in results):
-                values = [cut_words(t, r["spans"]) if r["spans"] else t for t, r in zip(texts.to_pylist(), results, strict=True)]
-                kept[at] = pa.array(values, texts.type)
-                if "n_chars" in columns:
-                    k = columns.index("n_chars")
-                    changed = pa.array([bool(r["spans"]) for r in results])
-                    kept[k] = pc.if_else(changed, pc.utf8_length(kept[at]).cast(kept[k].type), kept[k])
-            stay = pa.array([not r["spans"] or sum(s["end"] - s["start"] for s in r["spans"]) < r["n_words"] for r in results])
-            yield pa.RecordBatch.from_arrays(kept, columns).filter(stay)
-
-    return found.mapInArrow(cut, schema)
+    names = documents.columns
+    at = names.index("text")
+
+    def cut(columns: list[pa.Array], results: list[dict]) -> pa.RecordBatch:
+        kept, texts = [*columns], columns[at]
+        if any(r["spans"] for r in results):
+            values = [cut_words(t, r["spans"]) if r["spans"] else t for t, r in zip(texts.to_pylist(), results, strict=True)]
+            kept[at] = pa.array(values, texts.type)
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                changed = pa.array([bool(r["spans"]) for r in results])
+                kept[k] = pc.if_else(changed, pc.utf8_length(kept[at]).cast(kept[k].type), kept[k])
+        stay = pa.array([not r["spans"] or sum(s["end"] - s["start"] for s in r["spans"]) < r["n_words"] for r in results], pa.bool_())
+        return pa.RecordBatch.from_arrays(kept, names).filter(stay)
+
+    return hits(documents, benchmark, window, block_bytes, cut)[0]

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.generate import bounded_batches
 from corpusloom.llm.common import SPACE_FREE, checkpointed, mix, text_slices, word_hashes, word_spans
 
 BITS, PROBES, MIXED = 10, 7, 0.7
@@ -252,6 +253,7 @@ def held_out() -> F.Column:
 
 def scores(documents: DataFrame, segment_bytes: int = SEGMENT_BYTES, at_once: int = SEGMENTS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of documents (doc_id, text)."""
+    bounded_batches(documents.sparkSession)
     context = documents.sparkSession.sparkContext
     documents = documents.select("doc_id", "text")
     buckets, shift, n, v = train(documents.where(~held_out()))

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.generate import bounded_batches
 from corpusloom.llm.common import BROADCAST_BYTES, SPACE_FREE, by_size, checkpointed, mix, semi_by_size, text_slices, word_hashes, word_spans
 
 WIDTH = 5
@@ -50,6 +51,8 @@ FINE = 1024
 PRODUCTS = 1 << 18
 #: Most bytes of shingle sets that are broadcast to the pairs.
 SET_BYTES = BROADCAST_BYTES // 2
+#: Bytes that a small row takes in a broadcast table.
+ROW_BYTES = 192
 #: Most probability with which a pair at the similarity may lie beyond the radius (or have no key), and beyond the fine radius.
 LOST, FINE_LOST = 2.5e-6, 7e-8
 
@@ -382,6 +385,7 @@ def sketches_of(documents: DataFrame, classes: DataFrame, nodes: DataFrame) -> D
 
 def linked(rows: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     """class, component (a node) and component_id of the classes of signed rows (doc_id, n_shingles, class, signature)."""
+    bounded_batches(documents.sparkSession)
     limits = limits_at(percent)
     classes = rows.where("n_shingles > 0").groupBy("class").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")
@@ -422,6 +426,7 @@ def linked(rows: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
 
 
 def signed(documents: DataFrame) -> DataFrame:
+    bounded_batches(documents.sparkSession)
     return checkpointed(documents.mapInArrow(_sign, "doc_id bigint, n_shingles bigint, class binary, signature binary"))
 
 
@@ -432,7 +437,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = checkpointed(linked(rows, documents, percent)).select("class", "component_id")
     rows = rows.select("doc_id", "n_shingles", "class")
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    result = rows.where("n_shingles > 0").join(by_size(named, 48), "class").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    result = rows.where("n_shingles > 0").join(by_size(named, ROW_BYTES), "class").select("doc_id", "n_shingles", "component_id").unionByName(alone)
     return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -448,6 +453,7 @@ def drop_near_duplicates(documents: DataFrame, percent: int = STAGE_PERCENT) ->
     The row that stays has the group's smallest doc_id (null after all others), then the smallest digest of its text, then the
     smallest row as JSON. Rows with an empty set are in no group and all stay, as do unrelated texts under one doc_id or under none.
     """
+    bounded_batches(documents.sparkSession)
     content = F.unhex(F.md5("text"))
     rows = documents.select("doc_id", "text", content.alias("content")).mapInArrow(
         _keyed, "doc_id bigint, n_shingles bigint, class binary, signature binary, content binary"
@@ -455,10 +461,10 @@ def drop_near_duplicates(documents: DataFrame, percent: int = STAGE_PERCENT) ->
     rows = checkpointed(rows)
     named = checkpointed(linked(rows, documents.select("doc_id", "text"), percent)).select("class", "component")
     texts = rows.where("n_shingles > 0").groupBy("class", "doc_id", "content").agg(F.count("*").alias("times"))
-    texts = checkpointed(texts.join(by_size(named, 48), "class").withColumn("first", F.struct(F.col("doc_id").isNull(), "doc_id", "content")))
+    texts = checkpointed(texts.join(by_size(named, ROW_BYTES), "class").withColumn("first", F.struct(F.col("doc_id").isNull(), "doc_id", "content")))
     first = texts.groupBy("component").agg(F.min("first").alias("first"))
     first = checkpointed(first.select(F.col("component").alias("of"), F.col("first").alias("least")))
-    texts = texts.join(by_size(first, 96), F.col("component") == F.col("of"))
+    texts = texts.join(by_size(first, ROW_BYTES), F.col("component") == F.col("of"))
     lost = texts.where("first <> least").select("doc_id", "content")
     kept = semi_by_size(documents, lost, {"doc_id": F.col("doc_id"), "content": content}, "left_anti")
     repeated = checkpointed(texts.where("first = least and times > 1").select("doc_id", "content"))

@@ -22,6 +22,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corpusloom.functions.generate import bounded_batches
+
 WINDOW, KEEP, GAIN, LOSS = 48, 0.6, 0.3, 0.3
 
 
@@ -151,4 +153,5 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def personal_data(documents: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores of every row of documents (doc_id, text)."""
+    bounded_batches(documents.sparkSession)
     return documents.select("doc_id", "text").mapInArrow(_scan, _OUT)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.generate import bounded_batches
 from corpusloom.llm.common import SPACE_FREE, mix, text_slices, word_hashes, word_spans
 
 LABELLERS = 8
@@ -178,6 +179,7 @@ def fit(vectors: np.ndarray, soft: np.ndarray, rounds: int = 300) -> tuple[np.nd
 
 def quality_scores(documents: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, kept, weak_label (posterior of the votes) of every row of documents (doc_id, text)."""
+    bounded_batches(documents.sparkSession)
     documents = documents.select("doc_id", "text")
     counted = documents.mapInArrow(_patterns, "doc_id bigint, pattern bigint").groupBy("pattern").count().toPandas()
     posterior, _, _ = estimate(counted["pattern"].to_numpy(np.int64), counted["count"].to_numpy(np.float64))
