@@ -53,3 +53,42 @@ def test_radii_follow_the_similarity():
     assert (rng.binomial(near_dedup.FINE, 0.1, 400_000) > stage.fine_radius).sum() <= 2
     chunks = rng.binomial(near_dedup.CHUNK, 0.2, (400_000, near_dedup.CHUNKS))
     assert (chunks.min(axis=1) > 1).sum() <= 2
+
+
+def exact_components(sets, percent):
+    """Smallest index of each set's component, by a join on the rarest shingles that any pair at the similarity must share one of."""
+    count = {}
+    for s in sets:
+        for x in s:
+            count[x] = count.get(x, 0) + 1
+    parent, seen = list(range(len(sets))), {}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in sorted(range(len(sets)), key=lambda k: len(sets[k])):
+        own = sorted(sets[i], key=lambda x: (count[x], x))
+        near = set()
+        for x in own[: len(own) - (percent * len(own) + 99) // 100 + 1]:
+            near.update(seen.get(x, ()))
+            seen.setdefault(x, []).append(i)
+        for j in near:
+            common = len(sets[i] & sets[j])
+            if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((top(i), top(j)))
+                parent[b] = a
+    return [top(i) for i in range(len(sets))]
+
+
+def test_components_equal_those_of_an_exact_join(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    sets = []
+    for _, text in rows:
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text).split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    for percent in (80, 85):
+        expected = {rows[i][0]: rows[t][0] for i, t in enumerate(exact_components(sets, percent))}
+        assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, percent).collect()} == expected
