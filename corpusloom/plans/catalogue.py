@@ -721,7 +721,7 @@ def exact_phrase_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def phrase_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's second clause as it is found in its text by any of the methods; held against brute force in the tests."""
     clause = F.get(F.regexp_extract_all("text", F.lit(r"[^.!?।;,]+"), F.lit(0)), F.lit(1))
-    rows = table(spark, sf_dir, "documents").withColumn("span", find_exact("text", clause)).where("span is not null")
+    rows = table(spark, sf_dir, "documents").withColumn("span", find_exact("text", clause)).where("span.method is not null")
     return rows.select("doc_id", F.col("span.start").cast("bigint").alias("start_char"), F.col("span.end").cast("bigint").alias("end_char"), F.col("span.method").alias("method"))
 
 

@@ -140,3 +140,101 @@ def test_stream_equals_table(spark, tmp_path):
     query.awaitTermination(120)
     batch = windowed_counts(spark.read.parquet(str(tmp_path / "in")), "ts", ["event_type"])
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_phrase_spans_equal_brute_force(spark):
+    import re
+
+    from corpusloom.plans.catalogue import QUERIES
+
+    skipped = ",.;:!?-–—'\"“”‘’"
+    found = {r.doc_id: (r.start_char, r.end_char, r.method) for r in QUERIES["phrase_spans"](spark, "/root/testdata/sf0.001").collect()}
+    expected = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        clauses = re.findall(r"[^.!?।;,]+", r.text or "")
+        phrase = find.clean_phrase(clauses[1]) if len(clauses) > 1 else ""
+        if not phrase:
+            continue
+        if phrase in r.text:
+            expected[r.doc_id] = (r.text.index(phrase), r.text.index(phrase) + len(phrase), "exact")
+            continue
+        places = [i for i, c in enumerate(r.text) if not c.isspace() and c not in skipped]
+        at = "".join(r.text[i] for i in places).find("".join(phrase.split()))
+        if at >= 0:
+            expected[r.doc_id] = (places[at], places[at + len("".join(phrase.split())) - 1] + 1, "loose")
+    assert found == expected and {m for *_, m in found.values()} == {"exact", "loose"}
+
+
+def test_page_blocks_equal_brute_force(spark):
+    import re
+
+    from corpusloom.plans import more_catalogue
+
+    got = sorted((r.page_id, r.block_no, r.text) for r in more_catalogue.page_blocks(spark, "/root/testdata/sf0.001").collect())
+    expected = []
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        blocks = []
+        for m in re.finditer(r"(?is)<(?:p|li|h[1-6]|td|blockquote)\b[^>]*>(.*?)</(?:p|li|h[1-6]|td|blockquote)>", r.html or ""):
+            text = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ", m[1])
+            text = re.sub(r"(?s)<[^>]*>", " ", text)
+            for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+                text = text.replace(entity, char)
+            text = re.sub(r"[ \t\n\x0b\f\r]+", " ", text).strip(" ")
+            blocks += [text] if len(text) >= 20 else []
+        expected += [(r.page_id, n, t) for n, t in enumerate(blocks[:80])]
+    assert got == sorted(expected)
+
+
+def test_alignment_equals_all_choices():
+    import itertools
+    import random
+
+    from corpusloom.operators import alignment
+
+    rng = random.Random(5)
+    for _ in range(150):
+        lines = [[(f := rng.randint(1, 5), f + rng.randint(0, 1), round(rng.random(), 3)) for _ in range(rng.randint(1, 4))] for _ in range(rng.randint(1, 4))]
+
+        def total(path, reverse, lines=lines):
+            out = lines[0][path[0]][2]
+            for a, b, i, k in zip(lines, lines[1:], path, path[1:], strict=False):
+                step = alignment.transition(a[i][:2], b[k][:2], reverse)
+                if step is None:
+                    return None
+                out += b[k][2] + step
+            return out
+
+        for reverse in (False, True):
+            best = max((t for p in itertools.product(*map(lambda x: range(len(x)), lines)) if (t := total(p, reverse)) is not None), default=None)
+            path = alignment.monotone_path(lines, reverse)
+            assert best is None or total(path, reverse) == pytest.approx(best)
+        free = [sum(x[2] for x in c) for c in itertools.product(*lines) if all(a[1] < b[0] or b[1] < a[0] for a, b in itertools.combinations(c, 2))]
+        chosen = alignment.assignment(lines)
+        assert (chosen is None) == (not free) and (chosen is None or sum(line[k][2] for line, k in zip(lines, chosen, strict=True)) == pytest.approx(max(free)))
+
+
+def test_character_path_equals_all_choices(spark):
+    import itertools
+    import random
+
+    import numpy as np
+
+    from corpusloom.operators import alignment
+
+    def step(a, b, reverse):
+        if a[:2] == b[:2]:
+            return -0.16
+        gap = a[0] - b[1] if reverse else b[0] - a[1]
+        return -0.30 if gap < 0 else 0.10 if gap <= 3 else 0.06 if gap <= 80 else 0.02
+
+    rng = random.Random(6)
+    for _ in range(150):
+        lines = [[(float(s := rng.randint(0, 120)), float(s + rng.randint(1, 20)), round(rng.random(), 3)) for _ in range(rng.randint(1, 4))] for _ in range(rng.randint(1, 4))]
+        for reverse in (False, True):
+            totals = {p: sum(line[k][2] for line, k in zip(lines, p, strict=True)) + sum(step(a[i], b[k], reverse) + 0.03 for a, b, i, k in zip(lines, lines[1:], p, p[1:], strict=False)) for p in itertools.product(*map(lambda x: range(len(x)), lines))}
+            path, score = alignment.character_path([np.array(x) for x in lines], reverse)
+            assert totals[tuple(path)] == pytest.approx(max(totals.values())) and score == pytest.approx(max(totals.values()) / len(lines), abs=1e-4)
+    rows = [(1, 1, 0, 10, 0.5, "x"), (1, 1, 50, 60, 0.45, "x"), (1, 2, 12, 20, 0.4, "x"), (1, 2, 0, 10, 0.45, "x"), (1, 3, 22, 30, 0.5, "y"), (2, 1, 0, 5, 0.2, "x")]
+    got = {(r.group, r.line_no): r for r in alignment.assigned(spark.createDataFrame(rows, "group long, line_no long, start long, end long, score double, family string")).collect()}
+    assert [got[1, n].start for n in (1, 2, 3)] == [0, 12, 22] and got[1, 2].method == "global_forward" and got[2, 1].margin == got[2, 1].score == pytest.approx(0.2 + 0.05 + 0.03)
+    assert alignment.character_path([]) == ([], 0.0)

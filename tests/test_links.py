@@ -134,3 +134,19 @@ def test_anchor_resolution(spark):
 
 def test_stems():
     assert stem_forms("கடலை") == ["கடலை"] and stem_forms("மலர்களை") == ["மலர்களை", "மலர்"]
+
+
+def test_subspans_and_minimal_targets(spark):
+    from corpusloom.operators import cues, subspans
+
+    text = "ஒன்றும் இல்லை, சடையில் கங்கை சூடி; இன்பம் தரும் சொல். பல சொல் வேறு"
+    assert [text[a:b] for a, b, _ in subspans.clauses(text)] == ["ஒன்றும் இல்லை", "சடையில் கங்கை சூடி", "இன்பம் தரும் சொல்", "பல சொல் வேறு"] and subspans.clauses("") == []
+    phrases = list(subspans.cue_phrases(text))
+    assert all(text[a:b] == p for a, b, p in phrases) and any(p == "சடையில் கங்கை சூடி" for *_, p in phrases)
+    rows = spark.createDataFrame([(*link("wide", "சடை கங்கை", text, level="medium"), ["target_too_broad_penalty"]), (*link("small", "சடை கங்கை", "கங்கை சூடி"), []), (*link("none", "x", "", "unlinked"), [])], f"{ROW}, penalties_applied array<string>")
+    kinds = {(r.link_id, r.kind) for r in subspans.subspans(rows, ["link_id"]).collect()}
+    assert ("wide", "two_neighboring_clauses") in kinds and ("wide", "full_target_fallback") in kinds and not any(n == "none" for n, _ in kinds)
+    broad = cues.prepared(rows, "source_text", "target_text").select("link_id", subspans.is_broad(F.lit(False)).alias("b"), subspans.cue_families(F.col("target_text")).alias("f"))
+    assert {r.link_id: r.b for r in broad.collect()} == {"wide": True, "small": False, "none": False}
+    (best,) = subspans.minimal_targets(rows, PACK).where("link_id = 'wide'").collect()
+    assert "கங்கை" in best.target_text_minimal and text[best.local_start : best.local_end] == best.target_text_minimal and len(best.target_text_minimal) < 0.75 * len(text)
