@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Slices of a value's range that are summed before their values are ordered.
+SLICES = 4096
+
+
 def group_statistics(rows: DataFrame, by: str, value: str) -> DataFrame:
     """by, n, low, high, total of a number; means are total / n."""
     return rows.groupBy(by).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.sum(value).alias("total"))
@@ -15,10 +19,12 @@ def score_summary(rows: DataFrame, value: str) -> DataFrame:
     """n, low, high, mean, median; the median from running counts of distinct values, so that no task holds all of them."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
     one = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
-    parts = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id())
-    before = parts.groupBy("part").agg(F.sum("c").alias("held")).withColumn("before", F.sum("held").over(Window.orderBy("part")) - F.col("held"))
-    placed = parts.join(F.broadcast(before), "part").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy("v")))
-    middle = placed.join(F.broadcast(one.select("n")), F.lit(True)).where("2 * upto >= n and 2 * (upto - c) <= n")
+    # Values fall into slices of equal width; slices are summed before anything is ordered, and a slice is ordered by itself.
+    width = F.col("high").cast("double") - F.col("low").cast("double")
+    slices = counts.join(F.broadcast(one.select("n", "low", "high")), F.lit(True)).withColumn("slice", F.when(width > 0, F.floor((F.col("v").cast("double") - F.col("low").cast("double")) / width * SLICES)).otherwise(0))
+    before = slices.groupBy("slice").agg(F.sum("c").alias("held")).withColumn("before", F.sum("held").over(Window.orderBy("slice")) - F.col("held"))
+    placed = slices.join(F.broadcast(before), "slice").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("slice").orderBy("v")))
+    middle = placed.where("2 * upto >= n and 2 * (upto - c) <= n")
     return one.join(middle.agg(((F.min("v") + F.max("v")) / 2).alias("median")), F.lit(True))
 
 

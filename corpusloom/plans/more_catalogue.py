@@ -403,3 +403,60 @@ def occurrence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of terms that can't overlap themselves, by language."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.lit("text").alias("field_name"), "text", "lang")
     return occurrences.search(docs, _occurrence_terms()).groupBy("lang", F.col("matched_term").alias("term")).agg(F.count("*").alias("n"))
+
+
+# --- validators and golden queries ----------------------------------------------------------------------------------------------
+
+
+@registered("""WITH v AS (SELECT vec_id, vec_id // 2 AS chunk, CASE WHEN vec_id % 10 = 0 THEN NULL ELSE vec_id END AS parent, CASE WHEN vec_id % 7 = 0 THEN embedding[2:] ELSE embedding END AS e FROM embeddings)
+SELECT code, count(*) AS n FROM (SELECT 'missing_id' AS code FROM v WHERE parent IS NULL UNION ALL SELECT 'dimension_mismatch' FROM v WHERE len(e) <> (SELECT max(len(embedding)) FROM embeddings) UNION ALL SELECT 'duplicate_chunk_id' FROM v GROUP BY chunk HAVING count(*) > 1) GROUP BY code""")
+def embedding_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with vectors that lack parents, share ids in pairs and are too short now and then."""
+    from corpusloom.operators import validators
+
+    rows = table(spark, sf_dir, "embeddings")
+    size = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    i = F.col("vec_id")
+    rows = rows.select(F.floor(i / 2).alias("chunk_id"), F.when(i % 10 != 0, i).alias("parent_record_id"), F.when(i % 7 == 0, F.expr("slice(embedding, 2, size(embedding))")).otherwise(F.col("embedding")).alias("embedding"))
+    return validators.embedding_errors(rows, size).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@registered(f"""WITH {_MENTIONS}, a AS (SELECT m.doc_id, m.doc_id || ':' || (m.start_char % 50) AS k, CASE WHEN m.start_char % 9 = 0 THEN 'other' ELSE 'entity' END AS t, CASE WHEN m.start_char % 5 = 0 THEN 1 ELSE 0 END AS shift, m.start_char, m.end_char, m.term, d.text FROM mentions m JOIN documents d USING (doc_id))
+SELECT code, count(*) AS n FROM (SELECT 'invalid_type' AS code FROM a WHERE t = 'other' UNION ALL SELECT 'out_of_range' FROM a WHERE t = 'entity' AND end_char + shift > length(text) UNION ALL SELECT 'text_mismatch' FROM a WHERE t = 'entity' AND end_char + shift <= length(text) AND substr(text, start_char + shift + 1, length(term)) <> term
+  UNION ALL SELECT 'duplicate_annotation_id' FROM a GROUP BY k HAVING count(*) > 1) GROUP BY code""")
+def annotation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with mentions as annotations, of which some are shifted, of another type or share an id."""
+    from corpusloom.operators import validators
+
+    at = F.col("start_char")
+    shift = F.when(at % 5 == 0, 1).otherwise(0)
+    rows = _mentions(spark, sf_dir).select(
+        F.col("doc_id").alias("record_id"), (at % 50).cast("string").alias("annotation_id"), F.when(at % 9 == 0, "other").otherwise("entity").alias("type"), F.col("entity_type").alias("label"), F.col("term").alias("text"), F.lit("new").alias("review_status"),
+        (at + shift).alias("start"), (F.col("end_char") + shift).alias("end"), *[F.lit("").alias(c) for c in ("source", "target", "relationship_type")],
+    )
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.col("text").alias("record_text"))
+    return validators.annotation_errors(rows, docs, ["entity"]).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@registered(f"""WITH e AS (SELECT 'keyword_the' AS query_id, doc_id FROM documents WHERE list_contains({_TOKENS % "text"}, 'the') UNION ALL SELECT 'metadata_en', doc_id FROM documents WHERE lang = 'en' UNION ALL SELECT 'exact_7', doc_id FROM documents WHERE doc_id = 7)
+SELECT q AS query_id, CAST(count(doc_id) AS BIGINT) AS n, CAST(least(1, count(doc_id)) AS INT) AS expected_min_results FROM (VALUES ('keyword_the'), ('metadata_en'), ('exact_7'), ('none')) v(q) LEFT JOIN e ON q = query_id GROUP BY q""")
+def golden_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Golden queries with the number of records that each must find."""
+    from corpusloom.operators import validators
+
+    docs = table(spark, sf_dir, "documents").withColumn("record_id", F.col("doc_id").cast("string"))
+    specs = [("keyword_the", "records containing the", "keyword", F.array_contains(tx.search_tokens(F.col("text")), "the")), ("metadata_en", "all records in en", "metadata", F.col("lang") == "en"), ("exact_7", "find 7", "exact_lookup", F.col("doc_id") == 7), ("none", "nothing", "keyword", F.lit(False))]
+    asked, expected = validators.golden_queries(docs, specs)
+    counts = expected.groupBy("query_id").agg(F.count("*").alias("n"))
+    return asked.join(counts, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n"), "expected_min_results")
+
+
+@registered("SELECT code, count(*) AS n FROM (SELECT 'lost_song' AS code FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 10 = 3 UNION ALL SELECT 'record_without_chunks' FROM conversations WHERE turn = 0 AND conv_id % 10 <> 3 AND conv_id % 7 = 0 UNION ALL SELECT 'chunk_without_record' FROM conversations WHERE turn = 0 AND conv_id % 10 = 3 AND conv_id % 7 <> 0) GROUP BY code")
+def output_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences between conversations and a corpus from which some are left out."""
+    from corpusloom.operators import validators
+
+    c = F.col("conv_id")
+    first = table(spark, sf_dir, "conversations").where("turn = 0").select(c, c.alias("song_no"), F.concat(F.lit("r"), c).alias("record_id"))
+    chunks = first.where("conv_id % 7 <> 0").select(F.concat("record_id", F.lit("_v")).alias("chunk_id"), F.col("record_id").alias("parent_record_id"), F.lit("x").alias("chunk_text"))
+    return validators.output_errors(table(spark, sf_dir, "conversations").select(c.alias("song_no")), first.where("conv_id % 10 <> 3"), chunks).groupBy("code").agg(F.count("*").alias("n"))

@@ -238,3 +238,17 @@ def test_character_path_equals_all_choices(spark):
     got = {(r.group, r.line_no): r for r in alignment.assigned(spark.createDataFrame(rows, "group long, line_no long, start long, end long, score double, family string")).collect()}
     assert [got[1, n].start for n in (1, 2, 3)] == [0, 12, 22] and got[1, 2].method == "global_forward" and got[2, 1].margin == got[2, 1].score == pytest.approx(0.2 + 0.05 + 0.03)
     assert alignment.character_path([]) == ([], 0.0)
+
+
+def test_median_equals_sorted_values(spark):
+    import random
+    import statistics
+
+    from corpusloom.operators import reports
+
+    rng = random.Random(9)
+    for n in (1, 2, 7, 400, 401):
+        values = [rng.choice([rng.randint(0, 9), rng.randint(0, 10**6), -5]) for _ in range(n)]
+        r = reports.score_summary(spark.createDataFrame([(v,) for v in [*values, None]], "v bigint"), "v").first()
+        assert (r.n, r.low, r.high, r.median) == (n, min(values), max(values), statistics.median(values)) and r["mean"] == pytest.approx(statistics.mean(values))
+    assert reports.score_summary(spark.createDataFrame([], "v bigint"), "v").first().n == 0
