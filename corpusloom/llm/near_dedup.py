@@ -12,9 +12,11 @@ Equal sets are one class before anything is joined, so that exact copies cost on
 radius, those already in one component need no look, as they can't change the result; the others are held against a
 longer sketch of single bits, which a pair at the similarity passes but for a probability of FINE_LOST, and confirmed on
 full sets. A group of near copies is first linked to the extreme members of its key buckets; after that only pairs that
-are still in different components are compared, in blocks of bounded size, so neither pairs of a group nor a group itself
-is ever gathered in one place. Components come from spanning forests of bounded parts of the edges, with
-large-star/small-star rounds over what is left where one part does not hold it.
+are still in different components are compared, in blocks of bounded size. Blocks of keys hand on spanning forests of the
+pairs within both radii, which join classes into families; all pairs of a family are then held against each other in blocks
+that have the full sets, and hand on spanning forests of the links. So neither pairs of a group nor a group itself is ever
+gathered or written anywhere. Components come from spanning forests of bounded parts of the edges, with large-star/small-star
+rounds over what is left where one part does not hold it.
 
 Nulls and texts without words have an empty set and link with nothing. A null doc_id orders after all others. Repeated
 rows are rows of their own in one class. Only `doc_id` and `text` are read, so further columns can have any name. An empty
@@ -43,6 +45,8 @@ RADIUS = 2 * CHUNKS - 1
 #: The similarity of op1's contract, and that of a stage that isn't told another.
 PERCENT, STAGE_PERCENT = 85, 80
 BLOCK = 1024
+#: A family is dealt into parts of SIDE rows, but into SIDES parts at most while these have no more than BLOCK rows and SIDE_BYTES.
+SIDE, SIDES, SIDE_BYTES = 64, 32, 4 << 20
 #: Edges of which one task makes a spanning forest: 8 MB.
 EDGES_A_TASK = 1 << 19
 #: A second, longer sketch of single bits, for pairs within the radius only: a bit differs with half the probability of a symbol.
@@ -304,39 +308,44 @@ def _forests(limits: Limits, table: pa.Table, cuts: np.ndarray) -> Iterator[pa.R
         yield _pair_batch([np.array(found_a)], [np.array(found_b)])
 
 
-def _pairs_of(limits: Limits, table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    number, node, component, n, part, i, j = (table[c].to_numpy() for c in ("number", "node", "component", "n", "part", "i", "j"))
+def _links_of(limits: Limits, table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each block's pairs of part i with part j whose full sets reach the similarity, but for those that its earlier ones join: no more pairs than rows."""
+    node, component, n, part, i, j = (table[c].to_numpy() for c in ("node", "component", "n", "part", "i", "j"))
     symbols = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
     fine = np.frombuffer(b"".join(table["fine"].to_pylist()), np.uint64).reshape(-1, FINE // 64)
-    found_a, found_b, held = [], [], 0
+    sets = table["set"].combine_chunks()
+    members, first = sets.values.to_numpy().view(np.uint64), sets.offsets.to_numpy().astype(np.int64)
+    found_a, found_b = [], []
+    component = component.copy()
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         left = np.flatnonzero(part[lo:hi] == i[lo]) + lo
         right = np.flatnonzero(part[lo:hi] == j[lo]) + lo
         for at in left:
             to = right[(component[right] != component[at]) & limits.sizes(n[right], n[at])]
             if i[lo] == j[lo]:
-                to = to[node[to] > node[at]]
-            if len(to):
-                differ = symbols[to] != symbols[at]
-                near = np.flatnonzero(differ.sum(axis=1) <= limits.radius)
-                near = near[np.bitwise_count(fine[to[near]] ^ fine[at]).sum(axis=1, dtype=np.int64) <= limits.fine_radius]
-                near = near[first_key(differ[near]) == number[at]]
-                if len(near):
-                    found_a.append(np.full(len(near), node[at]))
-                    found_b.append(node[to[near]])
-                    held += len(near)
-        if held > 100_000:
-            yield _pair_batch(found_a, found_b)
-            found_a, found_b, held = [], [], 0
-    if held:
-        yield _pair_batch(found_a, found_b)
-
-
-def first_key(differ: np.ndarray) -> np.ndarray:
-    """Number of the first key that rows share, by the symbols in which they differ: a pair is looked at under that key only."""
-    chunks = differ.reshape(-1, CHUNKS, CHUNK)
-    chunk = (chunks.sum(axis=2) <= 1).argmax(axis=1)
-    return chunk * CHUNK + chunks[np.arange(len(differ)), chunk].argmax(axis=1)
+                to = to[to > at]
+            to = to[(symbols[to] != symbols[at]).sum(axis=1) <= limits.radius]
+            to = to[np.bitwise_count(fine[to] ^ fine[at]).sum(axis=1, dtype=np.int64) <= limits.fine_radius]
+            if not len(to):
+                continue
+            common = overlaps(members, first, at, to)
+            for k in to[100 * common >= limits.percent * (n[to] + n[at] - common)]:
+                if component[k] != component[at]:
+                    found_a.append(node[at])
+                    found_b.append(node[k])
+                    own = component[lo:hi]
+                    own[own == component[k]] = component[at]
+    if found_a:
+        yield _pair_batch([np.array(found_a)], [np.array(found_b)])
+
+
+def overlaps(members: np.ndarray, first: np.ndarray, at: int, to: np.ndarray) -> np.ndarray:
+    """How many members of row at's sorted set those of rows `to` have, none of which is empty; first: where each row's members begin."""
+    own, sizes = members[first[at] : first[at + 1]], first[to + 1] - first[to]
+    starts = np.cumsum(sizes) - sizes
+    others = members[np.arange(starts[-1] + sizes[-1]) + np.repeat(first[to] - starts, sizes)]
+    place = np.minimum(np.searchsorted(own, others), len(own) - 1)
+    return np.add.reduceat(own[place] == others, starts, dtype=np.int64)
 
 
 def _pair_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
@@ -351,12 +360,17 @@ def texts_of(documents: DataFrame, classes: DataFrame, nodes: DataFrame) -> tupl
     return texts.select("text"), wanted.select("node", "class")
 
 
+def sets_of(documents: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, set of some nodes."""
+    texts, wanted = texts_of(documents, classes, nodes)
+    sets = texts.mapInArrow(_sets, "class binary, set array<bigint>").dropDuplicates(["class"])
+    return checkpointed(sets.join(wanted, "class").select("node", "set"))
+
+
 def confirm(documents: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of nodes whose full shingle sets reach the similarity."""
     ends = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct())
-    texts, wanted = texts_of(documents, classes, ends)
-    sets = texts.mapInArrow(_sets, "class binary, set array<bigint>").dropDuplicates(["class"])
-    sets = checkpointed(sets.join(wanted, "class").select("node", "set"))
+    sets = sets_of(documents, classes, ends)
     if (sets.agg(F.sum(64 + 8 * F.size("set"))).first()[0] or 0) <= SET_BYTES:
         sets = F.broadcast(sets)
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
@@ -366,14 +380,35 @@ def confirm(documents: DataFrame, classes: DataFrame, pairs: DataFrame, percent:
     ).select("a", "b")
 
 
+def dealt(rows: DataFrame, parts: F.Column) -> DataFrame:
+    """rows (key, node) in so many parts of their key, each row once for every pair (i, j) of parts that has its own."""
+    rows = rows.withColumn("parts", parts.cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("parts", "other")
+
+
 def in_blocks(rest: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Rows (key, number, node, members, component) with sketches, dealt and sorted by key and pair of blocks (i, j) of its rows."""
-    rest = rest.withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
-    rest = rest.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rest = rest.select("key", "number", "node", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    """Rows (key, node, members, component) with sketches, dealt and sorted by key and pair of blocks (i, j) of its rows."""
+    rest = dealt(rest, F.ceil(F.col("members") / BLOCK)).select("key", "node", "component", "part", "i", "j")
     rest = rest.join(sketches, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rest.select("key", "number", "i", "j", "part", "node", "component", "n", "signature", "fine")
+    return rest.select("key", "i", "j", "part", "node", "component", "n", "signature", "fine")
+
+
+def within_families(near: DataFrame, labels: DataFrame, sketches: DataFrame, documents: DataFrame, classes: DataFrame, limits: Limits) -> DataFrame:
+    """Links (a, b) between components of one family; families are what pairs `near` and components join among the sketched nodes."""
+    rows = sketches.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    families = connected(near.select("a", "b").union(rows.select("node", "component"))).withColumnRenamed("component", "key")
+    rows = checkpointed(rows.join(families, "node"))
+    weight = F.sum(F.lit(ROW_BYTES) + 8 * F.col("n"))
+    tally = rows.groupBy("key").agg(F.count("*").alias("members"), weight.alias("bytes"), F.min("component").alias("low"), F.max("component").alias("high"))
+    tally = checkpointed(tally.where("low <> high").select("key", "members", "bytes"))
+    rows = checkpointed(rows.join(by_size(tally, ROW_BYTES), "key"))
+    rows = rows.join(sets_of(documents, classes, rows.select("node")), "node")
+    members = F.col("members")
+    parts = F.ceil(F.greatest(F.least(members / SIDE, F.lit(SIDES)), members / BLOCK, F.col("bytes") / SIDE_BYTES))
+    rows = dealt(rows, parts).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = rows.select("key", "i", "j", "part", "node", "component", "n", "signature", "fine", "set")
+    return checkpointed(rows.mapInArrow(_blocks(partial(_links_of, limits)), "a bigint, b bigint"))
 
 
 def sketches_of(documents: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -392,10 +427,10 @@ def linked(rows: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     )
     classes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
 
-    keys = classes.select("node", F.posexplode(chunk_keys(F.col("signature"))).alias("number", "key"))
+    keys = classes.select("node", F.explode(chunk_keys(F.col("signature"))).alias("key"))
     tally = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("low"), F.max("node").alias("high"))
     met = checkpointed(keys.join(tally.where("members > 1"), "key"))
-    shared = met.select("key", "number", "node", "members")
+    shared = met.select("key", "node", "members")
 
     info = classes.select("node", "n", "signature")
     star = met.select("node", F.explode(F.array("low", "high")).alias("to")).where("node <> to").distinct()
@@ -407,18 +442,18 @@ def linked(rows: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     links = checkpointed(confirm(documents, classes, pairs, percent))
     labels = checkpointed(connected(links))
 
-    # What is still apart within a key: first the nearest ones in blocks, then all pairs of different components that are left.
-    sketches = None
-    for find in (_forests, _pairs_of):
-        labelled = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        apart = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        rest = checkpointed(labelled.join(apart, "key"))
-        sketches = sketches or sketches_of(documents, classes, rest.select("node"))  # later rows are some of the first
-        more = checkpointed(in_blocks(rest, sketches).mapInArrow(_blocks(partial(find, limits)), "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti"))
+    # What is still apart within a key: first the nearest ones, then all pairs of different components that are left.
+    labelled = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    rest = checkpointed(labelled.join(apart, "key"))
+    sketches = sketches_of(documents, classes, rest.select("node"))
+    near = checkpointed(in_blocks(rest, sketches).mapInArrow(_blocks(partial(_forests, limits)), "a bigint, b bigint").distinct())
+    if not near.isEmpty():
+        links = checkpointed(links.union(confirm(documents, classes, near.join(pairs, ["a", "b"], "left_anti"), percent)))
+        labels = checkpointed(connected(links))
+        more = within_families(near, labels, sketches, documents, classes, limits)
         if not more.isEmpty():
-            pairs = checkpointed(pairs.union(more))
-            links = checkpointed(links.union(confirm(documents, classes, more, percent)))
-            labels = checkpointed(connected(links))
+            labels = checkpointed(connected(links.union(more)))
 
     found = classes.select("class", "node", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -92,3 +92,37 @@ def test_components_equal_those_of_an_exact_join(spark):
     for percent in (80, 85):
         expected = {rows[i][0]: rows[t][0] for i, t in enumerate(exact_components(sets, percent))}
         assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, percent).collect()} == expected
+
+
+def test_a_family_below_the_similarity_makes_no_rows_of_its_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    base, texts = [f"w{rng.randrange(10**9)}" for _ in range(800)], []
+    for copy in range(150):
+        words = list(base)
+        for k in rng.sample(range(5, 795, 10), 8):
+            words[k] = f"x{copy}_{k}"
+        texts.append(words)
+    for copy in range(0, 150, 10):
+        texts.append([*texts[copy][:200], f"y{copy}", *texts[copy][201:]])
+    sets = [shingle_set(" ".join(t)) for t in texts]
+    expected = exact_components(sets, 85)
+    assert len(set(expected)) > 60 and sum(100 * len(a & b) < 85 * len(a | b) for i, a in enumerate(sets) for b in sets[:i]) > 10_000
+    looked_at, confirm = [], near_dedup.confirm
+    monkeypatch.setattr(near_dedup, "confirm", lambda documents, classes, pairs, percent: looked_at.append(pairs.count()) or confirm(documents, classes, pairs, percent))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    for side, block in ((64, 1024), (16, 48)):
+        monkeypatch.setattr(near_dedup, "SIDE", side, raising=False)
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+        lowest = {}
+        for i, top in enumerate(expected):
+            lowest[top] = min(lowest.get(top, i), i)
+        assert got == {i: lowest[top] for i, top in enumerate(expected)}
+    assert max(looked_at) < 10 * len(texts)
+
+
+def test_overlaps_of_sorted_sets():
+    sets = [np.sort(np.random.default_rng(k).choice(60, 5 + 4 * k, replace=False).astype(np.uint64)) for k in range(8)]
+    first = np.cumsum([0, *map(len, sets)])
+    to = np.array([6, 0, 3, 7])
+    assert near_dedup.overlaps(np.concatenate(sets), first, 5, to).tolist() == [len({*sets[5]} & {*sets[k]}) for k in to]
